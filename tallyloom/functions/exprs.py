@@ -20,22 +20,28 @@ TIMESTAMP_LAYOUTS = [
 DATE_LIKE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
 
 
-def read_timestamp(value: Column) -> Column:
-    """Timestamp of a string in any known layout, else null.
+def quoted(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
 
-    The pattern test keeps ordinary text away from the parsers.
+
+def timestamp_sql(value: str) -> str:
+    """SQL for the timestamp of a string in any known layout, else null.
+
+    The pattern test keeps ordinary text away from the parsers. The plain cast also
+    reads fractions of a second and zone offsets.
     """
-    text = F.trim(value)
-    tries = [F.try_to_timestamp(text, F.lit(layout)) for layout in TIMESTAMP_LAYOUTS]
-    # The plain cast also reads fractions of a second and zone offsets.
-    return F.when(value.rlike(DATE_LIKE), F.coalesce(text.try_cast("timestamp"), *tries))
+    tries = ", ".join(f"try_to_timestamp(trim({value}), r\"{layout}\")" for layout in TIMESTAMP_LAYOUTS)
+    return (
+        f"CASE WHEN {value} RLIKE r'{DATE_LIKE}' "
+        f"THEN coalesce(try_cast(trim({value}) AS timestamp), {tries}) END"
+    )
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:
     """Column ``name`` as a timestamp, parsing it only when it is a string."""
-    kind = df.schema[name].dataType.simpleString()
-    if kind == "string":
-        return read_timestamp(F.col(name))
+    if df.schema[name].dataType.simpleString() == "string":
+        return F.expr(timestamp_sql(quoted(name)))
     return F.col(name).cast("timestamp")
 
 
