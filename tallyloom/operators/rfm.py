@@ -12,11 +12,10 @@ from tallyloom.functions.exprs import as_timestamp, ratio
 from tallyloom.functions.ranking import (
     exact_quantiles,
     global_rank,
-    long_counts,
     quintile_by_edges,
     quintile_by_rank,
     quintile_by_share,
-    running_counts,
+    rows_below,
     value_counts,
 )
 from tallyloom.session import materialise
@@ -152,22 +151,6 @@ def rfm_generic(df: DataFrame, customer: str, when: str, amount: str) -> DataFra
     return base.join(scores, "customer_code").withColumn("rfm_score", combined_score())
 
 
-def rows_below(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``<column>_below`` and ``<column>_ties`` (rows under and at the value) and
-    ``n``. Looked up by value in a distinct-value table, column by column; small
-    tables are broadcast and hot values split by adaptive execution."""
-    ranks = running_counts(long_counts(df, columns), ["column_name"], "value")
-    for column in columns:
-        lookup = ranks.where(F.col("column_name") == column).select(
-            F.col("value").alias(f"_{column}"),
-            F.col("below").alias(f"{column}_below"),
-            F.col("rows").alias(f"{column}_ties"),
-            F.col("n").alias(f"_{column}_n"),
-        )
-        df = df.join(lookup, F.col(column).cast("double") == F.col(f"_{column}"), "left").drop(f"_{column}")
-    return df.withColumn("n", F.col(f"_{columns[0]}_n")).drop(*[f"_{c}_n" for c in columns])
-
-
 def rfm_asof(customers: DataFrame, orders: DataFrame, today: date) -> DataFrame:
     """RFM of registered customers as of a day; scores from the share of customers
     strictly below. Customers without orders are left out."""
