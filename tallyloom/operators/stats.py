@@ -20,6 +20,15 @@ LEAST_GROUP = 5
 # --- correlations ----------------------------------------------------------
 
 
+def corr_sql(x: str, y: str) -> str:
+    """Pearson's r over the rows where both are known; null if either is constant.
+    (``corr`` raises on constant input in ANSI mode.)"""
+    x, y = f"cast({x} AS double)", f"cast({y} AS double)"
+    spread_x = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+    spread_y = f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
+    return f"try_divide(covar_pop({x}, {y}), {spread_x} * {spread_y})"
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns replaced by their 1-based ranks, ties sharing the mean rank."""
     placed = rows_below(df, columns)
@@ -35,7 +44,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
         full = average_ranks(full, columns)
     pairs = list(combinations(range(len(columns)), 2))
     sums = ["count(*) AS rows"]
-    sums += [f"corr({quoted(columns[i])}, {quoted(columns[j])}) AS r_{i}_{j}" for i, j in pairs]
+    sums += [f"{corr_sql(quoted(columns[i]), quoted(columns[j]))} AS r_{i}_{j}" for i, j in pairs]
     names = F.array(*[F.lit(c) for c in columns])
     records = ", ".join(f"struct({i} AS i, {j} AS j, r_{i}_{j} AS correlation, rows)" for i, j in pairs)
     long = full.selectExpr(*sums).selectExpr(f"inline(array({records}))")
@@ -103,7 +112,8 @@ def _groups(df: DataFrame, category: str, measure: str, most: int) -> DataFrame:
 
 def welch_ttest(df: DataFrame, category: str, measure: str) -> DataFrame:
     """Welch's t-test of a measure between the two values of a category, smaller value
-    first. No row unless there are two values with five measurements each."""
+    first. No row unless there are two values with five measurements each; a null
+    statistic where neither group varies."""
     a, b = F.get("g", F.lit(0)), F.get("g", F.lit(1))
     groups = _groups(df, category, measure, 2).where(F.size("g") == 2)
     parts = groups.select(a.alias("a"), b.alias("b")).where(
@@ -113,9 +123,9 @@ def welch_ttest(df: DataFrame, category: str, measure: str) -> DataFrame:
     tested = parts.select(
         F.col("a.label").alias("group1"),
         F.col("b.label").alias("group2"),
-        ((F.col("a.mean") - F.col("b.mean")) / F.sqrt(se_a + se_b)).alias("statistic"),
-        (
-            (se_a + se_b) * (se_a + se_b) / (se_a * se_a / (F.col("a.n") - 1) + se_b * se_b / (F.col("b.n") - 1))
+        F.try_divide(F.col("a.mean") - F.col("b.mean"), F.sqrt(se_a + se_b)).alias("statistic"),
+        F.try_divide(
+            (se_a + se_b) * (se_a + se_b), se_a * se_a / (F.col("a.n") - 1) + se_b * se_b / (F.col("b.n") - 1)
         ).alias("dof"),
     )
     return tested.withColumn("p_value", t_pvalue("statistic", "dof"))
@@ -138,7 +148,7 @@ def anova_oneway(df: DataFrame, category: str, measure: str) -> DataFrame:
     )
     within = F.aggregate("g", zero, lambda s, x: s + (x["n"] - 1) * x["var"])
     tested = sums.select(
-        ((between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))).alias("statistic"),
+        F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k"))).alias("statistic"),
         (F.col("k") - 1).cast("bigint").alias("dof1"),
         (F.col("n") - F.col("k")).alias("dof2"),
     )
@@ -301,9 +311,7 @@ def feature_target_corr(df: DataFrame, target: str, features: Sequence[str], row
     for name in [target, *features]:
         if not is_numeric(df.schema[name].dataType):
             coded = with_codes(coded, name, row_key)
-    sums = [
-        f"corr(cast({quoted(f)} AS double), cast({quoted(target)} AS double)) AS r{i}" for i, f in enumerate(features)
-    ]
+    sums = [f"{corr_sql(quoted(f), quoted(target))} AS r{i}" for i, f in enumerate(features)]
     names = F.array(*[F.lit(f) for f in features])
     records = ", ".join(f"struct({i} AS i, r{i} AS r)" for i in range(len(features)))
     long = coded.selectExpr(*sums).selectExpr(f"inline(array({records}))")

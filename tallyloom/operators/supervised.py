@@ -236,7 +236,7 @@ def regression_metrics(predicted: DataFrame) -> DataFrame:
     return predicted.agg(
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(squared / F.count(F.lit(1))).alias("rmse"),
-        (F.lit(1.0) - squared / spread).alias("r2_score"),
+        (F.lit(1.0) - F.try_divide(squared, spread)).alias("r2_score"),
     )
 
 
