@@ -97,3 +97,8 @@ def percent_text(value: Column, digits: int = 1, signed: bool = False) -> Column
 
 def titled(name: Column) -> Column:
     return F.initcap(F.translate(name, "_", " "))
+
+
+def literal(text: str) -> str:
+    """Text to put inside a ``format_string`` template."""
+    return text.replace("%", "%%")

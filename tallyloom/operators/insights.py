@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import percent_text, ratio, total
+from tallyloom.functions.exprs import literal, percent_text, ratio, total
 from tallyloom.functions.ranking import exact_quantiles, global_rank, value_counts
 from tallyloom.operators.dashboard import monthly_gapfilled, value_shares
 from tallyloom.operators.profile import NUMERIC_TYPES
@@ -286,7 +286,7 @@ def table_insights(df: DataFrame, profile: DataFrame, dataset_id: str) -> tuple[
                 priority="high",
                 title=f"High {money.title()} Concentration",
                 finding=F.format_string(
-                    f"Top 20%% of {entity} (%s) generate %s of total {money}.", F.format_number("top_count", 0), share
+                    f"Top 20%% of {literal(entity)} (%s) generate %s of total {literal(money)}.", F.format_number("top_count", 0), share
                 ),
                 evidence=F.format_string(
                     "Top 20%% aggregate %s out of total %s.", F.format_number("top_sum", 2), F.format_number("total_sum", 2)
@@ -306,7 +306,7 @@ def table_insights(df: DataFrame, profile: DataFrame, dataset_id: str) -> tuple[
                 id="rec_vip_retention",
                 category="retention",
                 title=f"Protect & Nurture High-Value {entity.title()} Cohort",
-                finding=F.format_string(f"%s of {money} is concentrated in top 20%% of {entity}.", share),
+                finding=F.format_string(f"%s of {literal(money)} is concentrated in top 20%% of {literal(entity)}.", share),
                 recommendation="Establish dedicated support channels, customized loyalty rewards, or priority "
                 f"outreach for the top quintile of {entity}.",
                 impact="high",
@@ -387,7 +387,7 @@ def table_insights(df: DataFrame, profile: DataFrame, dataset_id: str) -> tuple[
                     priority=F.when(change < -15, "high").otherwise("medium"),
                     title=F.format_string("Recent Period %s (%+.1f%%)", F.initcap(word), change),
                     finding=F.format_string(
-                        f"{money.title()} transitioned from %s to %s (%+.1f%%).",
+                        f"{literal(money.title())} transitioned from %s to %s (%+.1f%%).",
                         F.format_number("before", 2),
                         F.format_number("now.total", 2),
                         change,
@@ -455,7 +455,7 @@ def table_insights(df: DataFrame, profile: DataFrame, dataset_id: str) -> tuple[
                 type="comparison",
                 priority="low",
                 title=f"Heavy Skew in {category.title()}",
-                finding=F.format_string(f"Category '%s' accounts for %s of all {category} records.", F.col("top_value"), share),
+                finding=F.format_string(f"Category '%s' accounts for %s of all {literal(category)} records.", F.col("top_value"), share),
                 evidence=F.format_string(
                     "Top category representation exceeds 50%% threshold (%s vs next at %.1f%%).", share, F.col("next_pct")
                 ),

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
+from math import isnan
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import is_numeric, numeric_columns, text_columns
-from tallyloom.functions.exprs import quoted
+from tallyloom.functions.exprs import literal, quoted
 from tallyloom.functions.ranking import exact_quantiles, global_rank, rows_below, value_counts
 from tallyloom.functions.tails import chi2_pvalue, f_pvalue, t_pvalue
 
 ALPHA = 0.05
 LEAST_GROUP = 5
+# Beyond this many columns the pairs are computed as one matrix product.
+MOST_PAIRED = 20
 
 
 # --- correlations ----------------------------------------------------------
@@ -42,6 +47,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     if method == "spearman":
         full = average_ranks(full, columns)
+    if len(columns) > MOST_PAIRED:
+        return _wide_pairs(full, columns)
     pairs = list(combinations(range(len(columns)), 2))
     sums = ["count(*) AS rows"]
     sums += [f"{corr_sql(quoted(columns[i]), quoted(columns[j]))} AS r_{i}_{j}" for i, j in pairs]
@@ -53,6 +60,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     )
 
 
+def _wide_pairs(full: DataFrame, columns: list[str]) -> DataFrame:
+    """The same pairs from one product of the column matrix with itself; the result, a
+    number per pair of columns, passes through the driver."""
+    points = VectorAssembler(inputCols=columns, outputCol="v").transform(full).select("v")
+    matrix = Correlation.corr(points, "v").first()[0].toArray()
+    found = [
+        (columns[i], columns[j], i, j, None if isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, j in combinations(range(len(columns)), 2)
+    ]
+    schema = "var1 string, var2 string, i int, j int, correlation double"
+    return full.sparkSession.createDataFrame(found, schema).withColumn("rows", full.agg(F.count(F.lit(1))).scalar())
+
+
 def correlation_matrix(pairs: DataFrame) -> DataFrame:
     """Both triangles and the diagonal: (var1, var2, correlation)."""
     upper = pairs.select("var1", "var2", "correlation")
@@ -237,16 +257,17 @@ def statistical_tests(df: DataFrame, distinct: dict[str, int]) -> DataFrame | No
     few = next((c for c in categories if 3 <= distinct[c] <= 6), None)
     if two and measures:
         m = measures[0]
+        said, split = literal(m), literal(two)
         parts.append(
             _told(
                 welch_ttest(df, two, m),
                 "Two-Sample Welch's T-Test",
-                F.format_string(f"{m} across {two} ('%s' vs '%s')", "group1", "group2"),
+                F.format_string(f"{said} across {split} ('%s' vs '%s')", "group1", "group2"),
                 F.format_string(
-                    f"Statistically significant difference detected in {m} between %s and %s (p < 0.05).", "group1", "group2"
+                    f"Statistically significant difference detected in {said} between %s and %s (p < 0.05).", "group1", "group2"
                 ),
                 F.format_string(
-                    f"No statistically significant difference in {m} detected between %s and %s (p >= 0.05).",
+                    f"No statistically significant difference in {said} detected between %s and %s (p >= 0.05).",
                     "group1",
                     "group2",
                 ),
@@ -260,7 +281,10 @@ def statistical_tests(df: DataFrame, distinct: dict[str, int]) -> DataFrame | No
                 anova_oneway(df, few, m),
                 "One-Way ANOVA (Analysis of Variance)",
                 F.lit(f"{m} grouped by {few}"),
-                F.format_string(f"Mean {m} varies significantly across groups of {few} (F = %.2f, p < 0.05).", "statistic"),
+                F.format_string(
+                    f"Mean {literal(m)} varies significantly across groups of {literal(few)} (F = %.2f, p < 0.05).",
+                    "statistic",
+                ),
                 F.lit(f"No significant difference in group means of {m} across {few}."),
                 "Assumes normality and independent observations.",
             )
@@ -273,7 +297,7 @@ def statistical_tests(df: DataFrame, distinct: dict[str, int]) -> DataFrame | No
                 "Chi-Square Test of Independence",
                 F.lit(f"{a} and {b}"),
                 F.format_string(
-                    f"Significant association detected between {a} and {b} (Chi2 = %.2f, p < 0.05).", "statistic"
+                    f"Significant association detected between {literal(a)} and {literal(b)} (Chi2 = %.2f, p < 0.05).", "statistic"
                 ),
                 F.lit(f"{a} and {b} appear statistically independent."),
                 "Expected frequencies in at least 80% of contingency table cells >= 5.",

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import display_name, is_numeric
-from tallyloom.functions.exprs import contains_any, ratio, titled
+from tallyloom.functions.exprs import contains_any, literal, ratio, titled
 from tallyloom.operators.prep import impute_median, impute_mode, stratified_split, zscale
 from tallyloom.operators.profile import NUMERIC_TYPES
 from tallyloom.operators.stats import feature_target_corr
@@ -415,7 +415,7 @@ def feature_importance(
 def _describe(listed: DataFrame, correlations: DataFrame, target: str) -> DataFrame:
     """Direction, impact tier, sentence and rank; one row per feature."""
     r, share = F.col("correlation"), F.col("importance")
-    goal = display_name(target)
+    goal = literal(display_name(target))
     direction = F.when(r > 0.08, "positive").when(r < -0.08, "negative").otherwise("neutral")
     tier = (
         F.when(share >= 0.20, "critical").when(share >= 0.10, "high").when(share >= 0.05, "moderate").otherwise("low")

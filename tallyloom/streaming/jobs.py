@@ -1,7 +1,7 @@
 """Structured Streaming forms of the light profile and the revenue trend.
 
-Both keep additive state only: a row per column, or per day and group. Each trigger
-rewrites the small result table in the shared folder.
+Both keep additive state only: a row per column, or per open day and group. Results go
+to a folder that all executors share.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _run(result: DataFrame, target: str, label: str) -> StreamingQuery:
-    """Process everything available, replacing the result table at each trigger."""
+def _progress(spark: SparkSession, label: str) -> str:
+    return scratch_path(spark, f"{label}-progress")
+
+
+def _rewrite(result: DataFrame, target: str, label: str) -> StreamingQuery:
+    """Process everything available, rewriting the whole small result at each trigger."""
 
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(target)
@@ -30,7 +34,23 @@ def _run(result: DataFrame, target: str, label: str) -> StreamingQuery:
     return (
         result.writeStream.outputMode("complete")
         .foreachBatch(replace)
-        .option("checkpointLocation", scratch_path(result.sparkSession, f"{label}-progress"))
+        .option("checkpointLocation", _progress(result.sparkSession, label))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _updates(result: DataFrame, target: str, label: str) -> StreamingQuery:
+    """Process everything available, storing the rows each trigger changed under its
+    batch number. A repeated batch overwrites itself."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        result.writeStream.outputMode("update")
+        .foreachBatch(keep)
+        .option("checkpointLocation", _progress(result.sparkSession, label))
         .trigger(availableNow=True)
         .start()
     )
@@ -57,8 +77,8 @@ def running_profile(stream: DataFrame) -> DataFrame:
 
 
 def daily_totals(stream: DataFrame, when: str, amount: str, by: str, late: str = "1 day") -> DataFrame:
-    """Rows and summed amount per day and group; rows later than ``late`` behind the
-    newest are dropped together with their state."""
+    """Rows and summed amount per day and group. A day's state is dropped, and rows for
+    it are ignored, once the newest row is ``late`` past its end."""
     timed = stream.withColumn("_at", F.col(quoted(when)).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(F.window("_at", "1 day").alias("day"), F.col(by)).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(amount).alias("amount")
@@ -66,12 +86,26 @@ def daily_totals(stream: DataFrame, when: str, amount: str, by: str, late: str =
 
 
 def profile_stream(spark: SparkSession, path: str, schema: T.StructType, target: str) -> StreamingQuery:
-    return _run(running_profile(file_stream(spark, path, schema)), target, "profile")
+    return _rewrite(running_profile(file_stream(spark, path, schema)), target, "profile")
 
 
 def daily_stream(
-    spark: SparkSession, path: str, schema: T.StructType, target: str, when: str, amount: str, by: str
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    target: str,
+    when: str,
+    amount: str,
+    by: str,
+    late: str = "1 day",
 ) -> StreamingQuery:
-    totals = daily_totals(file_stream(spark, path, schema), when, amount, by)
+    totals = daily_totals(file_stream(spark, path, schema), when, amount, by, late)
     flat = totals.select(F.col("day.start").alias("day"), by, "rows", "amount")
-    return _run(flat, target, "daily")
+    return _updates(flat, target, "daily")
+
+
+def daily_table(spark: SparkSession, target: str, by: str) -> DataFrame:
+    """The current totals: the latest update of each day and group."""
+    stored = spark.read.parquet(target)
+    latest = F.max_by(F.struct("rows", "amount"), "batch")
+    return stored.groupBy("day", by).agg(latest.alias("now")).select("day", by, "now.rows", "now.amount")

@@ -503,6 +503,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return plan.drop("title", "reason")
 
 
+@query(
+    "capability_list",
+    f"WITH {ROLES} "
+    + " UNION ALL ".join(
+        f"SELECT dataset_id, '{k}' AS key, {test} AS available, 0.95::DOUBLE AS confidence FROM tests"
+        for s, k, test in PLAN_TESTS
+        if s == "feature"
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    plan = catalog.capability_plan(catalog.dataset_roles(stored_profile(spark, sf)))
+    return catalog.capability_list(plan).drop("name", "reason")
+
+
 @query(
     "column_roles",
     f"""WITH {PROFILE} SELECT dataset_id, {names_sql(NUMERIC)} AS numeric_columns,

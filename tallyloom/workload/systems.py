@@ -234,8 +234,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     schema, target = table(spark, sf, "events").schema, scratch_path(spark, "stream-daily")
-    jobs.daily_stream(spark, f"{sf}/events*.parquet", schema, target, "ts", "value", "event_type").awaitTermination()
-    return spark.read.parquet(target).withColumns(
+    # The files cover a month and may arrive in any order.
+    stream = jobs.daily_stream(
+        spark, f"{sf}/events*.parquet", schema, target, "ts", "value", "event_type", late="60 days"
+    )
+    stream.awaitTermination()
+    return jobs.daily_table(spark, target, "event_type").withColumns(
         {"day": F.date_format("day", "yyyy-MM-dd"), "amount": F.round("amount", 4)}
     )
 

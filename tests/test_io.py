@@ -104,6 +104,17 @@ def test_daily_stream(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.range(48).select(F.timestamp_seconds(F.col("id") * 3600).alias("at"), F.lit(1.5).alias("v"), (F.col("id") % 2).alias("g"))
     df.write.parquet(source)
-    jobs.daily_stream(spark, source, df.schema, target, "at", "v", "g").awaitTermination()
-    got = rows(spark.read.parquet(target), "day", "g")
+    for _ in range(2):  # a second run over the same files changes nothing
+        jobs.daily_stream(spark, source, df.schema, target, "at", "v", "g").awaitTermination()
+    got = rows(jobs.daily_table(spark, target, "g"), "day", "g")
     assert [(r["rows"], r["amount"]) for r in got] == [(12, 18.0)] * 4
+
+
+def test_daily_stream_over_several_triggers(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(48).select(F.timestamp_seconds(F.col("id") * 3600).alias("at"), F.lit(1.0).alias("v"), F.lit("g").alias("g"))
+    df.repartition(6).write.parquet(source)
+    totals = jobs.daily_totals(jobs.file_stream(spark, source, df.schema, files_per_trigger=1), "at", "v", "g", "9 days")
+    jobs._updates(totals.select(F.col("day.start").alias("day"), "g", "rows", "amount"), target, "many").awaitTermination()
+    assert spark.read.parquet(target).select("batch").distinct().count() >= 6
+    assert [(r["rows"], r["amount"]) for r in rows(jobs.daily_table(spark, target, "g"), "day")] == [(24, 24.0)] * 2

@@ -38,6 +38,15 @@ def test_correlations_match_pandas(frame, numbers, method):
         assert r == pytest.approx(want.loc[x, y], abs=1e-9)
 
 
+def test_wide_tables_take_the_matrix_route(frame, numbers, monkeypatch):
+    few = stats.correlation_pairs(frame, ["a", "b", "c"])
+    monkeypatch.setattr(stats, "MOST_PAIRED", 2)
+    wide = stats.correlation_pairs(frame, ["a", "b", "c"])
+    assert few.columns == wide.columns
+    for x, y in zip(few.orderBy("i", "j").collect(), wide.orderBy("i", "j").collect()):
+        assert x.correlation == pytest.approx(y.correlation) and x[:4] == y[:4] and x.rows == y.rows
+
+
 def test_top_pairs(frame):
     top = stats.top_correlations(stats.correlation_pairs(frame, ["a", "b", "c"])).collect()
     assert (top[0].var1, top[0].var2, top[0].relationship) == ("a", "b", "Strong Positive")
