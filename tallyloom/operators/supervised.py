@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import display_name, is_numeric
 from tallyloom.functions.exprs import contains_any, literal, ratio, titled
+from tallyloom.functions.parallel import side_by_side
 from tallyloom.operators.prep import impute_median, impute_mode, stratified_split, zscale
 from tallyloom.operators.profile import NUMERIC_TYPES
 from tallyloom.operators.stats import feature_target_corr
@@ -315,11 +317,12 @@ def compare_models(
             models = _classifiers(len(encoded.classes), train_rows, trees, boosts, depth)
         else:
             models = _regressors(train, train_rows, trees, boosts, depth)
-        board = []
-        for name, model in models.items():
+
+        def score(name: str, model) -> dict:
             scored = model.fit(train).transform(test)
+            pairs = scored.select("label", "prediction")
             if task == "classification":
-                found = classification_metrics(scored.select("label", "prediction")).first().asDict()
+                found = classification_metrics(pairs).first().asDict()
                 row = {m: found[m] * 100 for m in found}
                 row["roc_auc"] = (
                     BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(scored)
@@ -328,9 +331,11 @@ def compare_models(
                 )
                 row["primary_metric"] = row["f1_score"]
             else:
-                row = regression_metrics(scored.select("label", "prediction")).first().asDict()
+                row = regression_metrics(pairs).first().asDict()
                 row["primary_metric"] = row["r2_score"]
-            board.append({"model_name": name, "task": task, **row})
+            return {"model_name": name, "task": task, **row}
+
+        board = side_by_side(df.sparkSession, [partial(score, *entry) for entry in models.items()])
     finally:
         train.unpersist()
     metrics = [m for m in board[0] if m not in ("model_name", "task")]
