@@ -33,7 +33,9 @@ def sales_lines(spark: SparkSession, sf_dir: str, product: bool = False, country
         )
         extra.append(F.col("n_name").alias("country"))
     return lines.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        ).alias("line_id"),
         F.col("o_orderkey").alias("invoice_id"),
         F.col("o_custkey").alias("customer_id"),
         F.to_date("o_orderdate").alias("order_date"),
@@ -45,7 +47,8 @@ def sales_lines(spark: SparkSession, sf_dir: str, product: bool = False, country
 
 LINES = """
 lines AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   CAST(round(l_extendedprice * 100) AS BIGINT)) AS line_id,
          o_orderkey AS invoice_id, o_custkey AS customer_id,
          CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS BIGINT) AS quantity,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS total_price,
