@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import numeric_columns, text_columns
+from tallyloom.functions.exprs import one_row
 from tallyloom.operators import catalog, clustering, dashboard, insights, profile, stats, supervised
 from tallyloom.sources.files import preview_json
 from tallyloom.sources.sinks import write_results
@@ -51,15 +52,16 @@ def ingest(df: DataFrame, dataset_id: str, key: str) -> Ingested:
 def ingest_summary(ingested: Ingested) -> DataFrame:
     """One row: size, score, domain, number of possible analyses and findings."""
     available = ingested.plan.where((F.col("section") == "feature") & F.col("available"))
-    return ingested.quality.join(ingested.classification, "dataset_id").select(
+    domain = one_row(ingested.classification)
+    return ingested.quality.select(
         "dataset_id",
         "row_count",
         "column_count",
         "missing_pct",
         "duplicate_rows",
         "quality_score",
-        "dataset_type",
-        "confidence",
+        domain["dataset_type"].alias("dataset_type"),
+        domain["confidence"].alias("confidence"),
         available.agg(F.count(F.lit(1))).scalar().alias("available_features"),
         ingested.insights.agg(F.count(F.lit(1))).scalar().alias("insights"),
     )

@@ -88,6 +88,25 @@ def test_shared_folder_comes_from_the_session(spark):
     assert rows(materialise(spark.range(2), "test"), "id") == [{"id": 0}, {"id": 1}]
 
 
+class Settings:
+    """Stands in for a session with the given settings."""
+
+    def __init__(self, **values):
+        self.values = {k.replace("_", "."): v for k, v in values.items()}
+        self.conf = self
+
+    def get(self, name, default=None):
+        return self.values.get(name, default)
+
+
+def test_only_a_local_session_may_use_its_own_folder():
+    local = Settings(spark_master="local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Settings(spark_master="yarn"))
+    assert shared_folder(Settings(spark_master="yarn", spark_checkpoint_dir="hdfs:/shared")) == "hdfs:/shared"
+
+
 def test_streamed_profile_equals_the_batch(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") / 2).alias("v"), F.lit("x").alias("s"))
