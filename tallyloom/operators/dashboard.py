@@ -270,8 +270,9 @@ def chart_category(df: DataFrame, by: str) -> DataFrame:
 
 
 def segment_distribution(segments: DataFrame, rfm: DataFrame) -> DataFrame:
-    """Customers, share and spend per segment; segments without scores count too."""
-    everyone = segments.agg(F.count(F.lit(1))).scalar()
+    """Customers, share and spend per segment; customers without scores count too. The
+    total is taken over the finished segments, a handful of rows."""
+    everyone = F.sum("customers").over(W.partitionBy())
     return (
         segments.join(rfm.select("customer_id", "monetary"), "customer_id", "left")
         .groupBy("segment_label")

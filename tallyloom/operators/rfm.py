@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import as_timestamp, ratio
@@ -225,12 +226,23 @@ def score_distribution(scored: DataFrame) -> DataFrame:
 
 
 def segment_stats(segmented: DataFrame) -> DataFrame:
-    """Per segment: customers, share of all, mean recency, frequency and spend."""
-    everyone = segmented.agg(F.count(F.lit(1))).scalar()
-    return segmented.groupBy("segment_label").agg(
-        F.count(F.lit(1)).alias("customers"),
-        ratio(F.count(F.lit(1)) * 100, everyone).alias("share_pct"),
-        (F.sum("recency_days") / F.count(F.lit(1))).alias("avg_recency"),
-        (F.sum("frequency") / F.count(F.lit(1))).alias("avg_frequency"),
-        (F.sum("monetary").cast("double") / F.count(F.lit(1))).alias("avg_monetary"),
+    """Per segment: customers, share of all, mean recency, frequency and spend.
+
+    The total is taken over the finished segments, a handful of rows.
+    """
+    rows = F.count(F.lit(1))
+    grouped = segmented.groupBy("segment_label").agg(
+        rows.alias("customers"),
+        (F.sum("recency_days") / rows).alias("avg_recency"),
+        (F.sum("frequency") / rows).alias("avg_frequency"),
+        (F.sum("monetary").cast("double") / rows).alias("avg_monetary"),
+    )
+    everyone = F.sum("customers").over(W.partitionBy())
+    return grouped.select(
+        "segment_label",
+        "customers",
+        ratio(F.col("customers") * 100, everyone).alias("share_pct"),
+        "avg_recency",
+        "avg_frequency",
+        "avg_monetary",
     )
