@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup, url_filter
+from tallyloom.llm import bpe, exact_dedup, simhash, url_filter
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -24,6 +25,19 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_bpe")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode_documents(table(spark, sf, "documents"), vocabulary)
+    return bpe.decode_documents(encoded, vocabulary).select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op5_exact_dedup",
     r"""
@@ -44,6 +58,16 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op7_simhash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and the components of near copies."""
+    return simhash.near_duplicates(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("net", "/", "block"),
