@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, simhash, url_filter
+from tallyloom.llm import bpe, exact_dedup, language_id, line_templates, simhash, url_filter
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -38,6 +38,56 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_line_templates",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, i - 1 AS line_no, x[i] AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)
+    ), masked AS (
+        SELECT *, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' '),
+                                 lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+        FROM lines
+    ), own AS (
+        SELECT *, len(tokens) AS n, list_slice(tokens, 1, 3) AS lead
+        FROM masked
+        WHERE array_to_string(tokens, ' ') <> '' AND len(list_filter(tokens, lambda t: t <> '<*>')) >= 3
+    ), distinct_lines AS (
+        SELECT n, lead, tokens, min(doc_id) AS low, max(doc_id) AS high FROM own GROUP BY ALL
+    ), open_lines AS (
+        SELECT * FROM distinct_lines QUALIFY count(*) OVER (PARTITION BY n, lead) > 1
+    ), cells AS (
+        SELECT n, lead, tokens, low, high, p, tokens[p] AS token FROM open_lines, unnest(range(4, n + 1)) AS r(p)
+    ), fields AS (
+        SELECT n, lead, p, token FROM cells GROUP BY ALL HAVING min(low) <> max(high)
+    ), general AS (
+        SELECT n, lead, tokens, list((p, token) ORDER BY p) AS template
+        FROM cells JOIN fields USING (n, lead, p, token) GROUP BY ALL
+        HAVING (count(*) + 3) * 100 >= n * 80
+    ), known AS (
+        SELECT d.*, template FROM distinct_lines d LEFT JOIN general USING (n, lead, tokens)
+    ), kept AS (
+        SELECT n, lead, tokens, min(low) OVER w AS keeper, max(high) OVER w AS most FROM known
+        WINDOW w AS (PARTITION BY n, lead, template, CASE WHEN template IS NULL THEN tokens END)
+    ), gone AS (
+        SELECT doc_id, line_no FROM own JOIN kept USING (n, lead, tokens) WHERE keeper <> most AND doc_id <> keeper
+    )
+    SELECT l.doc_id, count(*) AS n_lines, count(g.doc_id) AS n_dropped,
+           coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (g.doc_id IS NULL), '') AS text
+    FROM lines l LEFT JOIN gone g USING (doc_id, line_no)
+    GROUP BY l.doc_id
+    """,
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines whose template recurs from another document."""
+    documents = table(spark, sf, "documents")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    counted = documents.select("doc_id", "text", n_lines.alias("n_lines"))
+    return line_templates.drop_recurring_lines(counted).select(
+        "doc_id", "n_lines", F.col("n_lines_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text")
+    )
+
+
 @query(
     "op5_exact_dedup",
     r"""
@@ -58,6 +108,21 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every document, by a model of the labelled documents outside the test fold."""
+    documents = table(spark, sf, "documents")
+    fold = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(documents.where(~fold))
+    return language_id.label_languages(documents, model).select(
+        F.col("id").alias("doc_id"),
+        language_id.held_out(F.col("id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and the components of near copies."""
