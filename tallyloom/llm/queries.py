@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, exact_dedup, language_id, line_templates, simhash, url_filter
+from tallyloom.llm import bpe, decontaminate, exact_dedup, language_id, line_templates, simhash, url_filter
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -168,3 +168,33 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict on every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
+@query(
+    "op10_decontaminate",
+    r"""
+    WITH split AS (
+        SELECT 'd' AS side, doc_id AS id, lower(coalesce(text, '')) AS t FROM documents
+        UNION ALL SELECT 'b', item_id, lower(coalesce(text, '')) FROM benchmark
+    ), words AS (
+        SELECT side, id, string_split(bare, ' ') AS w
+        FROM (SELECT side, id,
+                     trim(regexp_replace(t, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS bare
+              FROM split WHERE id IS NOT NULL)
+        WHERE bare <> ''
+    ), shingles AS (
+        SELECT DISTINCT side, id, list_slice(w, i, i + 4) AS s FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i)
+    ), items AS (
+        SELECT id AS item, s, count(*) OVER (PARTITION BY id) AS n_shingles FROM shingles WHERE side = 'b'
+    )
+    SELECT id AS doc_id, item AS item_id, count(*) AS n_found, any_value(n_shingles) AS n_shingles
+    FROM shingles JOIN items USING (s)
+    WHERE side = 'd'
+    GROUP BY id, item
+    HAVING count(*) * 100 >= any_value(n_shingles) * 80
+    """,
+)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it contains."""
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_found", "n_shingles")
