@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, exact_dedup, language_id, line_templates, simhash, url_filter
+from tallyloom.llm import bpe, chat_windows, decontaminate, exact_dedup, language_id, line_templates, simhash, url_filter
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -198,3 +198,68 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it contains."""
     found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_found", "n_shingles")
+
+
+@query(
+    "op8_chat_windows",
+    r"""
+    WITH own AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), counted AS (
+        SELECT *, greatest(CAST(ceil(strlen(text) / 4.0) AS BIGINT), 1) AS tokens,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k,
+               20 + 3 + length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))
+                  + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) AS chars
+        FROM own
+    ), led AS (
+        SELECT *, sum(CASE WHEN k = 1 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS led,
+               k = 1 AND role = 'system' AS is_system,
+               count(*) OVER (PARTITION BY conv_id) AS n_all
+        FROM counted
+    ), summed AS (
+        SELECT *, greatest((2048 - 512 - led) // 2, 1) AS half,
+               sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) - tokens - led AS before
+        FROM led
+    ), placed AS (
+        SELECT *, (before // half) * 2 + CASE WHEN tokens > half THEN 1 ELSE 0 END AS span,
+               before + least(512, half) AS reach
+        FROM summed
+    ), spans AS (
+        SELECT conv_id, span, min(before) AS start FROM placed WHERE NOT is_system GROUP BY ALL
+        UNION ALL SELECT conv_id, 0, 0 FROM placed WHERE is_system AND n_all = 1
+    ), shown AS (
+        SELECT p.conv_id, sum(p.chars) AS chars
+        FROM placed p JOIN spans s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+             AND (is_system OR s.span = p.span OR (s.span > p.span AND s.start <= p.reach))
+        GROUP BY ALL
+    ), n_spans AS (SELECT conv_id, count(*) AS n FROM spans GROUP BY ALL)
+    SELECT p.conv_id,
+           count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           (any_value(shown.chars) + 3 * any_value(n_spans.n))::BIGINT AS formatted_chars
+    FROM placed p JOIN shown ON p.conv_id IS NOT DISTINCT FROM shown.conv_id
+         JOIN n_spans ON p.conv_id IS NOT DISTINCT FROM n_spans.conv_id
+    GROUP BY p.conv_id
+    """,
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back, as digests."""
+    marks = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    back = chat_windows.read_back(chat_windows.chat_windows(turns))
+    spoken = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    loss = F.array_join("losses", "")
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
