@@ -88,9 +88,13 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_recurring_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    count_col: str | None = "n_lines_dropped",
+    drop_emptied: bool = False,
 ) -> DataFrame:
-    """``df`` without the lines that recur from another document: all columns, the text replaced, and ``n_lines_dropped``.
+    """``df`` without the lines that recur from another document: all columns, the text replaced, and ``count_col`` if named.
 
     * Lines end at ``\\n``; a line counts with its white space collapsed and its variable fields open. Lines of fewer than
       ``MIN_WORDS`` words never are dropped. Lines that recur only inside their own document stay.
@@ -98,11 +102,11 @@ def drop_recurring_lines(
     * Null texts stay null. Rows without an id are left alone. Rows that repeat an id with equal text are one document and
       change together.
     * ``drop_emptied``: documents from which lines were dropped and no word is left go.
-    * A column of ``df`` named ``n_lines_dropped`` is replaced.
+    * A column of ``df`` named like ``count_col`` is replaced; without ``count_col`` the columns are those of ``df``.
     """
     gone = recurring_lines(df, id_col, text_col).groupBy("id", "version").agg(F.collect_list("line_no").alias("__line_numbers"))
     gone = gone.withColumnsRenamed({"id": "__line_id", "version": "__line_version"})
-    kept = df.drop("n_lines_dropped")
+    kept = df.drop(count_col) if count_col else df
     on = (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(F.col(text_col)) == F.col("__line_version"))
     joined = kept.join(gone, on, "left").drop("__line_id", "__line_version")
     at = kept.columns.index(text_col)
@@ -118,10 +122,11 @@ def drop_recurring_lines(
                 new.append(text)
                 counts.append(len(numbers))
                 stay.append(not (drop_emptied and numbers and not text.strip()))
-            columns = [*batch.columns[:-1], pa.array(counts, pa.int64())]
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
             columns[at] = pa.array(new, texts.type)
-            names = [*batch.schema.names[:-1], "n_lines_dropped"]
+            if count_col:
+                columns, names = [*columns, pa.array(counts, pa.int64())], [*names, count_col]
             yield pa.record_batch(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    schema = kept.withColumn("n_lines_dropped", F.lit(0).cast("long")).schema
+    schema = kept.withColumn(count_col, F.lit(0).cast("long")).schema if count_col else kept.schema
     return joined.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf)
+
+
 @query("op1_bpe")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
