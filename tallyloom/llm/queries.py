@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_windows, decontaminate, exact_dedup, language_id, line_templates, simhash, url_filter
+from tallyloom.llm import bpe, chat_windows, decontaminate, exact_dedup, language_id, line_templates, main_text, quality, simhash, url_filter
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -45,6 +45,30 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op2_main_text")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.main_text(table(spark, sf, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks"
+    )
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality of every document, by two views that teach each other; a fifth of the ids is kept out of training."""
+    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fold = language_id.held_out(F.col("doc_id"))
+    model = quality.co_train(documents.where(~fold), labels.where(~fold))
+    return quality.score(documents, model).select(
+        F.col("id").alias("doc_id"),
+        language_id.held_out(F.col("id")).alias("held_out"),
+        "text_score",
+        "metadata_score",
+        "score",
+        "keep",
+    )
+
+
 @query(
     "op4_line_templates",
     r"""
