@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The date layouts tried, in order, when a string is read as a timestamp.
 TIMESTAMP_LAYOUTS = [
@@ -46,11 +47,30 @@ def as_timestamp(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("timestamp")
 
 
+def known(value: Column) -> Column:
+    """A number with NaN as null. Spark counts NaN as a value, and as the largest one."""
+    return F.nullif(value, F.lit(float("nan")))
+
+
+def known_sql(value: str) -> str:
+    """The same for SQL text, as double."""
+    return f"nullif(cast({value} AS double), double('NaN'))"
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    """Numeric value of a column; unreadable strings become null."""
-    if df.schema[name].dataType.simpleString() == "string":
-        return F.trim(F.col(name)).try_cast("double")
-    return F.col(name)
+    """Numeric value of a column; unreadable strings and NaN become null."""
+    kind = df.schema[name].dataType
+    if kind.simpleString() == "string":
+        return known(F.trim(F.col(name)).try_cast("double"))
+    return known(F.col(name)) if isinstance(kind, T.FractionalType) else F.col(name)
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """True for null and, in a column of floating-point numbers, for NaN."""
+    column = F.col(quoted(name))
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
 
 
 def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:
@@ -66,14 +86,14 @@ def percent_change(current: Column, prior: Column) -> Column:
 
 
 def total(value: Column) -> Column:
-    """Sum as double. Decimals are added exactly first, so the result does not
-    depend on how rows are spread over partitions."""
-    return F.coalesce(F.sum(value).cast("double"), F.lit(0.0))
+    """Sum as double, without NaN. Decimals are added exactly first, so the result does
+    not depend on how rows are spread over partitions."""
+    return F.coalesce(F.sum(known(value)).cast("double"), F.lit(0.0))
 
 
 def mean(value: Column) -> Column:
-    """Sum over count, in double (``avg`` on decimals would round to a scale)."""
-    return F.sum(value).cast("double") / F.count(value)
+    """Sum over count without NaN, in double (``avg`` on decimals would round to a scale)."""
+    return F.sum(known(value)).cast("double") / F.count(known(value))
 
 
 def month_of(value: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.exprs import known
 from tallyloom.session import materialise
 
 # monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits.
@@ -140,8 +141,8 @@ def quantiles_of(
 
 
 def long_counts(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Value-count table (extra..., column_name, value, rows) of numeric columns."""
-    long = df.select(*extra, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    """Value-count table (extra..., column_name, value, rows) of numeric columns, without NaN."""
+    long = df.select(*extra, *[known(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(
         list(extra), list(columns), "column_name", "value"
     )
     return value_counts(long, [*extra, "column_name"], "value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import missing_fields, standardise
-from tallyloom.functions.exprs import as_number, as_timestamp
+from tallyloom.functions.exprs import as_number, as_timestamp, is_missing
 
 KEY_FIELDS = ["customer", "date", "quantity", "price"]
 UNKNOWN = "Unknown"
@@ -34,7 +34,10 @@ def tag_rows(raw: DataFrame, row_key: str | None = None) -> DataFrame:
 
     absent = F.lit(False)
     for name in KEY_FIELDS:
-        absent = absent | F.col(name).isNull()
+        absent = absent | is_missing(df, name)
+    for name in ("quantity", "price"):
+        if df.schema[name].dataType.simpleString() == "string":
+            absent = absent | F.coalesce(F.isnan(F.trim(F.col(name)).try_cast("double")), F.lit(False))
     date = as_timestamp(df, "date")
     quantity = F.coalesce(as_number(df, "quantity"), F.lit(0))
     price = F.coalesce(as_number(df, "price"), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import numeric_columns
-from tallyloom.functions.exprs import as_timestamp, mean, month_of, percent_change, ratio, total
+from tallyloom.functions.exprs import as_timestamp, is_missing, known, mean, month_of, percent_change, ratio, total
 
 # Spellings that count as "has left".
 LEFT_VALUES = ["yes", "true", "1", "left"]
@@ -121,9 +121,9 @@ def workforce_kpis(df: DataFrame, entity: str, salary: str, tenure: str, attriti
 
 
 def generic_kpis(df: DataFrame) -> DataFrame:
-    """Rows, columns, numeric columns and the percentage of missing cells."""
+    """Rows, columns, numeric columns and the percentage of missing cells (null or NaN)."""
     width = len(df.columns)
-    empty = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    empty = sum((F.count_if(is_missing(df, c)) for c in df.columns), F.lit(0))
     rows = F.count(F.lit(1))
     return df.agg(
         rows.alias("records"),
@@ -139,7 +139,7 @@ def sales_summary(df: DataFrame, amount: str) -> DataFrame:
     return df.agg(
         total(F.col(amount)).alias("total_revenue"),
         lines.alias("order_lines"),
-        ratio(F.sum(amount), lines).alias("avg_order_value"),
+        ratio(total(F.col(amount)), lines).alias("avg_order_value"),
     )
 
 
@@ -225,7 +225,7 @@ def top_by_amount(
     top = (
         df.where(F.col(by).isNotNull())
         .groupBy(F.col(by).alias(label))
-        .agg(total(F.col(amount)).alias("revenue"), F.count(amount).alias("orders"))
+        .agg(total(F.col(amount)).alias("revenue"), F.count(known(F.col(amount))).alias("orders"))
         .orderBy(F.desc("revenue"), label)
         .limit(k)
     )

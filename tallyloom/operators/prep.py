@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.exprs import one_row, quoted
+from tallyloom.functions.exprs import known, one_row, quoted
 from tallyloom.functions.ranking import global_rank, quantiles_of, value_counts
 
 
@@ -17,11 +17,11 @@ def _lookup(long: DataFrame, value: str) -> Column:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Nulls replaced by the column's exact median (the mean of the middle two), taken
+    """Nulls and NaN replaced by the column's exact median (the mean of the middle two), taken
     from ``fit_on`` where given."""
     medians = _lookup(quantiles_of(df if fit_on is None else fit_on, columns, [0.5]), "quantile")
     return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.try_element_at(medians, F.lit(c))) for c in columns}
+        {c: F.coalesce(known(F.col(c).cast("double")), F.try_element_at(medians, F.lit(c))) for c in columns}
     )
 
 
@@ -46,17 +46,17 @@ def impute_mode(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
 
 
 def zscale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population standard deviation; constant columns become 0."""
+    """(x - mean) / population standard deviation; constant columns become 0, NaN null."""
     source = df if fit_on is None else fit_on
     sums = []
     for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
+        value = known(F.col(c).cast("double"))
         sums += [F.avg(value).alias(f"m{i}"), F.stddev_pop(value).alias(f"s{i}")]
     moments = one_row(source.agg(*sums))
     scaled = {}
     for i, c in enumerate(columns):
         spread = F.when(moments[f"s{i}"] > 0, moments[f"s{i}"]).otherwise(F.lit(1.0))
-        scaled[c] = (F.col(c).cast("double") - moments[f"m{i}"]) / spread
+        scaled[c] = (known(F.col(c).cast("double")) - moments[f"m{i}"]) / spread
     return df.withColumns(scaled)
 
 

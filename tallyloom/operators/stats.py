@@ -4,31 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
-from math import isnan
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import is_numeric, numeric_columns, text_columns
-from tallyloom.functions.exprs import literal, quoted
+from tallyloom.functions.exprs import is_missing, known, known_sql, literal, quoted
 from tallyloom.functions.ranking import exact_quantiles, global_rank, rows_below, value_counts
 from tallyloom.functions.tails import chi2_pvalue, f_pvalue, t_pvalue
 
 ALPHA = 0.05
 LEAST_GROUP = 5
-# Beyond this many columns the pairs are computed as one matrix product.
-MOST_PAIRED = 20
 
 
 # --- correlations ----------------------------------------------------------
 
 
 def corr_sql(x: str, y: str) -> str:
-    """Pearson's r over the rows where both are known; null if either is constant.
-    (``corr`` raises on constant input in ANSI mode.)"""
-    x, y = f"cast({x} AS double)", f"cast({y} AS double)"
+    """Pearson's r over the rows where both are known, NaN counting as unknown; null if
+    either is constant. (``corr`` raises on constant input in ANSI mode.)"""
+    x, y = known_sql(x), known_sql(y)
     spread_x = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
     spread_y = f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
     return f"try_divide(covar_pop({x}, {y}), {spread_x} * {spread_y})"
@@ -42,13 +37,11 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """(var1, var2, i, j, correlation, rows) for each pair i < j of numeric columns,
-    over rows without nulls. All pairs share one aggregate."""
+    over rows without nulls or NaN. All pairs share one aggregate, however many columns there are."""
     columns = list(columns or numeric_columns(df))
     full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     if method == "spearman":
         full = average_ranks(full, columns)
-    if len(columns) > MOST_PAIRED:
-        return _wide_pairs(full, columns)
     pairs = list(combinations(range(len(columns)), 2))
     sums = ["count(*) AS rows"]
     sums += [f"{corr_sql(quoted(columns[i]), quoted(columns[j]))} AS r_{i}_{j}" for i, j in pairs]
@@ -60,19 +53,6 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     )
 
 
-def _wide_pairs(full: DataFrame, columns: list[str]) -> DataFrame:
-    """The same pairs from one product of the column matrix with itself; the result, a
-    number per pair of columns, passes through the driver."""
-    points = VectorAssembler(inputCols=columns, outputCol="v").transform(full).select("v")
-    matrix = Correlation.corr(points, "v").first()[0].toArray()
-    found = [
-        (columns[i], columns[j], i, j, None if isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, j in combinations(range(len(columns)), 2)
-    ]
-    schema = "var1 string, var2 string, i int, j int, correlation double"
-    return full.sparkSession.createDataFrame(found, schema).withColumn("rows", full.agg(F.count(F.lit(1))).scalar())
-
-
 def correlation_matrix(pairs: DataFrame) -> DataFrame:
     """Both triangles and the diagonal: (var1, var2, correlation)."""
     upper = pairs.select("var1", "var2", "correlation")
@@ -119,7 +99,7 @@ def key_correlation(pairs: DataFrame, least: float = 0.65, rows: int = 15) -> Da
 def _groups(df: DataFrame, category: str, measure: str, most: int) -> DataFrame:
     """Count, mean and variance per category value. One row more than ``most`` is
     kept, enough to see that there are too many."""
-    value = F.col(measure).cast("double")
+    value = known(F.col(measure).cast("double"))
     groups = (
         df.where(F.col(category).isNotNull())
         .groupBy(F.col(category).cast("string").alias("label"))
@@ -331,7 +311,7 @@ def with_codes(df: DataFrame, column: str, row_key: str) -> DataFrame:
 def feature_target_corr(df: DataFrame, target: str, features: Sequence[str], row_key: str) -> DataFrame:
     """(feature, correlation): Pearson with the target, categories by their codes,
     undefined values 0. One aggregate covers all features."""
-    coded = df.where(F.col(target).isNotNull())
+    coded = df.where(~is_missing(df, target))
     for name in [target, *features]:
         if not is_numeric(df.schema[name].dataType):
             coded = with_codes(coded, name, row_key)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import display_name, is_numeric
-from tallyloom.functions.exprs import contains_any, literal, ratio, titled
+from tallyloom.functions.exprs import contains_any, is_missing, literal, ratio, titled
 from tallyloom.functions.parallel import side_by_side
 from tallyloom.operators.prep import impute_median, impute_mode, stratified_split, zscale
 from tallyloom.operators.profile import NUMERIC_TYPES
@@ -40,9 +40,10 @@ KEY_SUFFIXES = ["id", "uuid", "key", "code"]
 
 SEED = 42
 LEAST_ROWS = 15
-# Categories with more levels are hashed: an indexer keeps all its levels on the driver.
+# An indexer keeps all its levels on the driver: with more levels a category is refused
+# unless the caller asks for hashing. A classifier trains a model per class.
 MOST_LEVELS = 10_000
-HASH_SLOTS = 1 << 14
+MOST_CLASSES = 100
 
 
 # --- choosing targets and features -----------------------------------------
@@ -77,25 +78,32 @@ def predictor_columns(profile: DataFrame, target: str) -> DataFrame:
     return profile.where((F.col("column_name") != target) & ~key_like & (F.col("unique_count") > 1))
 
 
+def _best_named(names: Sequence[str], keywords: Sequence[str]) -> str | None:
+    """The name with the earliest keyword in it; of several, the first."""
+    ranks = {name: min((i for i, word in enumerate(keywords) if word in name.lower()), default=None) for name in names}
+    named = [name for name in names if ranks[name] is not None]
+    return min(named, key=ranks.get, default=None)
+
+
 def detect_target(names: Sequence[str], numeric: Sequence[str], distinct: Mapping[str, int]) -> str:
-    """The most target-like column: by keyword order, else the last varying measure,
-    else the last column."""
-    for word in TARGET_KEYWORDS:
-        for name in names:
-            if word in name.lower() and not name.lower().endswith("id"):
-                return name
-    measures = [n for n in numeric if not n.lower().endswith("id") and distinct.get(n, 0) > 1]
-    return measures[-1] if measures else names[-1]
+    """The most target-like column: by keyword, else the last varying measure, else the
+    last column. Identifiers don't count."""
+
+    def no_ids(columns: Sequence[str]) -> list[str]:
+        return [c for c in columns if not c.lower().endswith("id")]
+
+    varying = [c for c in no_ids(numeric) if distinct.get(c, 0) > 1]
+    return _best_named(no_ids(names), TARGET_KEYWORDS) or [*names[-1:], *varying][-1]
 
 
 def pick_batch_target(names: Sequence[str]) -> str:
     """Target for unattended training of many tables; identifiers and dates are out."""
-    usable = [n for n in names if not any(word in n.lower() for word in BATCH_EXCLUDED)]
-    for word in BATCH_KEYWORDS:
-        for name in usable:
-            if word in name.lower():
-                return name
-    return usable[-1] if usable else names[-1]
+    usable = [n for n in names if not contains_word(n, BATCH_EXCLUDED)]
+    return _best_named(usable, BATCH_KEYWORDS) or [*names[-1:], *usable][-1]
+
+
+def contains_word(name: str, words: Sequence[str]) -> bool:
+    return any(word in name.lower() for word in words)
 
 
 def default_features(names: Sequence[str], target: str) -> list[str]:
@@ -126,10 +134,22 @@ class Encoded:
 
 
 def encode(
-    df: DataFrame, key: str, target: str, features: Sequence[str], task: str, flag: str | None = None
+    df: DataFrame,
+    key: str,
+    target: str,
+    features: Sequence[str],
+    task: str,
+    flag: str | None = None,
+    hash_slots: int | None = None,
+    max_classes: int = MOST_CLASSES,
 ) -> Encoded:
-    """Impute, scale and one-hot encode. With ``flag``, everything is learned from the
-    flagged rows only and unseen categories become all zeros."""
+    """Impute, scale and encode. With ``flag``, everything is learned from the flagged rows
+    only and unseen categories become all zeros.
+
+    Categories are one-hot encoded, all of their levels; one with more than ``MOST_LEVELS``
+    raises. With ``hash_slots``, every category is hashed into so many slots instead. A
+    target of more than ``max_classes`` classes raises.
+    """
     numbers = [f for f in features if is_numeric(df.schema[f].dataType)]
     words = [f for f in features if f not in numbers]
     keep = [flag] if flag else []
@@ -149,12 +169,14 @@ def encode(
         rows = impute_mode(rows, word_cols, seen(rows))
     rows = materialise(rows, "encoded")
 
-    levels = {}
-    if words:
-        counted = seen(rows).agg(*[F.approx_count_distinct(w).alias(w) for w in word_cols]).first()
-        levels = {w: counted[w] for w in word_cols}
-    listed = [w for w in word_cols if levels[w] <= MOST_LEVELS]
-    hashed = [w for w in word_cols if levels[w] > MOST_LEVELS]
+    listed, hashed = (word_cols, []) if hash_slots is None else ([], word_cols)
+    for w, name in zip(listed, words):
+        if seen(rows).select(w).distinct().limit(MOST_LEVELS + 1).count() > MOST_LEVELS:
+            raise ValueError(f"Column '{name}' has more than {MOST_LEVELS} levels; leave it out or set hash_slots.")
+    if task == "classification":
+        classes_seen = rows.select("_target").distinct().limit(max_classes + 1).count()
+        if classes_seen > max_classes:
+            raise ValueError(f"Target column '{target}' has more than {max_classes} classes.")
     stages, inputs = [], list(number_cols)
     if listed:
         stages.append(
@@ -168,7 +190,7 @@ def encode(
         stages.append(OneHotEncoder(inputCols=[f"{w}_i" for w in listed], outputCols=[f"{w}_v" for w in listed]))
         inputs += [f"{w}_v" for w in listed]
     for w in hashed:
-        stages.append(FeatureHasher(inputCols=[w], outputCol=f"{w}_v", numFeatures=HASH_SLOTS))
+        stages.append(FeatureHasher(inputCols=[w], outputCol=f"{w}_v", numFeatures=hash_slots))
         inputs.append(f"{w}_v")
     if task == "classification":
         stages.append(
@@ -191,7 +213,7 @@ def encode(
         for w, labels in zip(listed, fitted[0].labelsArray):
             slots += [sources[w]] * len(labels)
     for w in hashed:
-        slots += [sources[w]] * HASH_SLOTS
+        slots += [sources[w]] * hash_slots
     classes = list(fitted[-2].labels) if task == "classification" else []
     slim = current.select("_key", *keep, "label", "features")
     return Encoded(materialise(slim, "features"), slots, classes)
@@ -291,11 +313,14 @@ def compare_models(
     trees: int = 100,
     boosts: int = 80,
     depth: int = 8,
+    hash_slots: int | None = None,
+    max_classes: int = MOST_CLASSES,
 ) -> Comparison:
-    """Train the candidate models on 80 % of the rows and score them on the rest."""
+    """Train the candidate models on 80 % of the rows and score them on the rest; see
+    ``encode`` for the limits on categories and classes."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in dataset.")
-    known = df.where(F.col(target).isNotNull())
+    known = df.where(~is_missing(df, target))
     if known.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError(
             "Dataset has too few non-null target rows (minimum 15 required for supervised ML)."
@@ -308,7 +333,7 @@ def compare_models(
         if len(sizes) <= 10 and min(r["count"] for r in sizes) >= 2:
             stratify = target
     split = stratified_split(known, key, stratify, seed=SEED)
-    encoded = encode(split, key, target, features, task, "is_train")
+    encoded = encode(split, key, target, features, task, "is_train", hash_slots, max_classes)
     train = encoded.rows.where("is_train").persist()
     test = encoded.rows.where("NOT is_train")
     try:
@@ -379,7 +404,7 @@ def feature_importance(
     The vector has a slot per number and category level; slots are added up per
     source column.
     """
-    known = df.where(F.col(target).isNotNull())
+    known = df.where(~is_missing(df, target))
     task = task_of(known, target)
     encoded = encode(known, key, target, features, task)
     rows = encoded.rows.persist()

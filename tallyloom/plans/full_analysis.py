@@ -166,7 +166,7 @@ def run_full_analysis(
             message = steps[name]()
             state = "skipped" if message.startswith("skipped") else "completed"
         except Exception as error:  # one module's failure is reported, not raised
-            state, message = "failed", f"{type(error).__name__}: {error}"[:500]
+            state, message = "failed", f"{type(error).__name__}: {error}"
         status.append((name, state, message))
     return spark.createDataFrame(status, STATUS)
 
@@ -188,5 +188,5 @@ def train_catalog(
             write_results(supervised.metrics_long(best.leaderboard), f"{output}/model_metrics", dataset_id)
             status.append((dataset_id, "completed", f"{best.best_model} for {goal}"))
         except Exception as error:  # report and train the next dataset
-            status.append((dataset_id, "failed", f"{type(error).__name__}: {error}"[:500]))
+            status.append((dataset_id, "failed", f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(status, "dataset_id string, status string, message string")

@@ -27,6 +27,12 @@ def _rows(frame: DataFrame, columns: list[str], limit: int) -> Column:
     return frame.select(*columns).limit(limit).agg(F.collect_list(F.struct(*columns))).scalar()
 
 
+def _by_weight(frame: DataFrame, weight: str) -> DataFrame:
+    """The weightiest first, then by title: which ten a report shows is fixed."""
+    place = F.array_position(F.array(*[F.lit(x) for x in ("high", "medium", "low")]), F.lower(F.col(weight)))
+    return frame.orderBy(F.when(place > 0, place).otherwise(4), "title")
+
+
 def report_doc(
     dataset_id: str,
     quality: DataFrame,
@@ -74,8 +80,8 @@ def report_doc(
             ]
         ).alias("eda"),
         drivers.alias("feature_importance"),
-        _rows(insights, ["title", "finding", "evidence", "priority"], 10).alias("insights"),
-        _rows(recommendations, ["title", "recommendation", "impact", "effort"], 10).alias("recommendations"),
+        _rows(_by_weight(insights, "priority"), ["title", "finding", "evidence", "priority"], 10).alias("insights"),
+        _rows(_by_weight(recommendations, "impact"), ["title", "recommendation", "impact", "effort"], 10).alias("recommendations"),
         F.array(
             F.lit("Analysis reflects tabular distributions at upload time."),
             F.format_string("Data quality confidence rating: %.0f/100.", score),

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the light profile and the revenue trend.
 
-Both keep additive state only: a row per column, or per open day and group. Results go
-to a folder that all executors share.
+Both keep additive state only: a row per column, or per open day and group. Results and
+progress go to folders that all executors share; a stream that is started again for the
+same folder reads new files only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.functions.exprs import quoted
 from tallyloom.operators.profile import NUMERIC_TYPES, cell_sql, kind_of
-from tallyloom.session import scratch_path
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -21,11 +21,13 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _progress(spark: SparkSession, label: str) -> str:
-    return scratch_path(spark, f"{label}-progress")
+def progress_path(target: str) -> str:
+    """Where a stream keeps its progress and state: beside its results, so that the next
+    start goes on where the last one ended and batch numbers never start again."""
+    return f"{target.rstrip('/')}-progress"
 
 
-def _rewrite(result: DataFrame, target: str, label: str) -> StreamingQuery:
+def _rewrite(result: DataFrame, target: str) -> StreamingQuery:
     """Process everything available, rewriting the whole small result at each trigger."""
 
     def replace(batch: DataFrame, _: int) -> None:
@@ -34,13 +36,13 @@ def _rewrite(result: DataFrame, target: str, label: str) -> StreamingQuery:
     return (
         result.writeStream.outputMode("complete")
         .foreachBatch(replace)
-        .option("checkpointLocation", _progress(result.sparkSession, label))
+        .option("checkpointLocation", progress_path(target))
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _updates(result: DataFrame, target: str, label: str) -> StreamingQuery:
+def _updates(result: DataFrame, target: str) -> StreamingQuery:
     """Process everything available, storing the rows each trigger changed under its
     batch number. A repeated batch overwrites itself."""
 
@@ -50,7 +52,7 @@ def _updates(result: DataFrame, target: str, label: str) -> StreamingQuery:
     return (
         result.writeStream.outputMode("update")
         .foreachBatch(keep)
-        .option("checkpointLocation", _progress(result.sparkSession, label))
+        .option("checkpointLocation", progress_path(target))
         .trigger(availableNow=True)
         .start()
     )
@@ -72,7 +74,7 @@ def running_profile(stream: DataFrame) -> DataFrame:
         F.count_if("missing").alias("missing_count"),
         F.min("number").alias("min"),
         F.max("number").alias("max"),
-        (F.sum(F.col("number").cast("decimal(38,6)")).cast("double") / F.count("number")).alias("mean"),
+        F.avg("number").alias("mean"),
     )
 
 
@@ -86,7 +88,7 @@ def daily_totals(stream: DataFrame, when: str, amount: str, by: str, late: str =
 
 
 def profile_stream(spark: SparkSession, path: str, schema: T.StructType, target: str) -> StreamingQuery:
-    return _rewrite(running_profile(file_stream(spark, path, schema)), target, "profile")
+    return _rewrite(running_profile(file_stream(spark, path, schema)), target)
 
 
 def daily_stream(
@@ -101,7 +103,7 @@ def daily_stream(
 ) -> StreamingQuery:
     totals = daily_totals(file_stream(spark, path, schema), when, amount, by, late)
     flat = totals.select(F.col("day.start").alias("day"), by, "rows", "amount")
-    return _updates(flat, target, "daily")
+    return _updates(flat, target)
 
 
 def daily_table(spark: SparkSession, target: str, by: str) -> DataFrame:

@@ -85,6 +85,41 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_stats(raw_log(spark, sf)).withColumn("issues", F.array_join("issues", "; "))
 
 
+@query(
+    "clean_stats_nan",
+    f"""WITH {RAW_LOG}, t AS (
+      SELECT CASE WHEN customer IS NULL OR price IS NULL OR quantity % 7 = 3 THEN 'missing' ELSE drop_reason END AS drop_reason
+      FROM tagged)
+    SELECT count(*) AS original_rows, count(*) FILTER (drop_reason = 'missing') AS missing_rows,
+           count(*) FILTER (drop_reason = 'bad_date') AS bad_date_rows,
+           count(*) FILTER (drop_reason = 'not_positive') AS not_positive_rows,
+           count(drop_reason) AS dropped_rows, count(*) - count(drop_reason) AS clean_rows FROM t""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A price that is not a number is a missing one, in a column of numbers as in one of text."""
+    price = F.when(F.col("Quantity") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("UnitPrice").cast("double"))
+    raw = raw_log(spark, sf).withColumn("UnitPrice", price)
+    stats = cleaning.clean_stats(raw).drop("issues")
+    return stats.intersect(cleaning.clean_stats(raw.withColumn("UnitPrice", price.cast("string"))).drop("issues"))
+
+
+@query(
+    "generic_kpis_nan",
+    """SELECT count(*) AS records, 5 AS features, 2 AS numeric_features,
+              (count(*) FILTER (l_quantity = 7) + count(*) FILTER (l_linenumber = 2))::DOUBLE * 100 / (count(*) * 5)::DOUBLE AS missing_pct
+       FROM lineitem""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("price"),
+        "l_discount",
+        F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"),
+        "l_linestatus",
+        "l_shipdate",
+    )
+    return dashboard.generic_kpis(lines)
+
+
 @query(
     "orders_output",
     f"""WITH {RAW_LOG}

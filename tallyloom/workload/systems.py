@@ -139,7 +139,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("run_pipeline")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of the raw log, scored, clustered and named."""
-    return pipeline.run_pipeline(raw_log(spark, sf), n_clusters=4, restarts=3).rfm
+    return pipeline.run_pipeline(raw_log(spark, sf)).rfm
 
 
 _known: dict[tuple[str, str], full_analysis.Ingested] = {}
@@ -173,9 +173,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         scratch_path(spark, "analysis"),
         target="p_retailprice",
         ingested=parts_known(spark, sf),
-        restarts=1,
-        trees=20,
-        boosts=10,
     )
 
 
@@ -212,19 +209,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_profile",
     """SELECT 'event_id' AS column_name, 'integer' AS kind, count(*) AS row_count, count(*) - count(event_id) AS missing_count,
-              min(event_id)::DOUBLE AS min, max(event_id)::DOUBLE AS max, sum(event_id)::DOUBLE / count(event_id) AS mean FROM events
+              min(event_id)::DOUBLE AS min, max(event_id)::DOUBLE AS max, round(sum(event_id)::DOUBLE / count(event_id), 6) AS mean FROM events
        UNION ALL SELECT 'ts', 'datetime', count(*), count(*) - count(ts), NULL, NULL, NULL FROM events
        UNION ALL SELECT 'user_id', 'integer', count(*), count(*) - count(user_id), min(user_id), max(user_id),
-                        sum(user_id)::DOUBLE / count(user_id) FROM events
+                        round(sum(user_id)::DOUBLE / count(user_id), 6) FROM events
        UNION ALL SELECT 'event_type', 'string', count(*), count(*) - count(event_type), NULL, NULL, NULL FROM events
        UNION ALL SELECT 'value', 'float', count(*), count(*) - count(value), min(value), max(value),
-                        sum(CAST(value AS DECIMAL(38,6)))::DOUBLE / count(value) FROM events
+                        round(sum(value) / count(value), 6) FROM events
        UNION ALL SELECT 'props', 'string', count(*), count(*) - count(props), NULL, NULL, NULL FROM events""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     schema, target = table(spark, sf, "events").schema, scratch_path(spark, "stream-profile")
     jobs.profile_stream(spark, f"{sf}/events*.parquet", schema, target).awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).withColumn("mean", F.round("mean", 6))
 
 
 @query(

@@ -39,6 +39,17 @@ def test_good_rows_stay(raw):
     assert clean[2]["product"] == "Unknown" and clean[2]["country"] == "France"
 
 
+def test_not_a_number_is_missing(spark):
+    df = spark.createDataFrame(
+        [("1", "a", "2025-01-01", 1.0, 2.0, "p"), ("2", "a", "2025-01-01", 1.0, float("nan"), "p"), ("3", "a", "2025-01-01", float("nan"), 2.0, "p")],
+        "invoice string, customer string, date string, qty double, price double, item string",
+    )
+    for frame in (df, df.withColumns({"price": df.price.cast("string"), "qty": df.qty.cast("string")})):
+        assert [r["invoice"] for r in rows(cleaning.clean_transactions(frame), "invoice")] == ["1"]
+        (stats,) = rows(cleaning.clean_stats(frame))
+        assert stats["missing_rows"] == 2 and stats["clean_rows"] == 1
+
+
 def test_each_row_is_counted_under_its_first_cause(raw):
     (stats,) = rows(cleaning.clean_stats(raw))
     assert stats["original_rows"] == 10 and stats["clean_rows"] == 3 and stats["dropped_rows"] == 7

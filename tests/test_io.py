@@ -129,11 +129,30 @@ def test_daily_stream(spark, tmp_path):
     assert [(r["rows"], r["amount"]) for r in got] == [(12, 18.0)] * 4
 
 
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """New files of a second start are added to the first one's; each file is read once, and later batches win."""
+    source, totals, profiled = str(tmp_path / "in"), str(tmp_path / "totals"), str(tmp_path / "profile")
+    at = F.timestamp_seconds(F.lit(0)).alias("at")
+    parts = [[1e-9, 3e-9], [1e33], [0.0, 2.0, 4.0]]
+    seen: list[float] = []
+    for k, values in enumerate(parts):
+        df = spark.createDataFrame([(v,) for v in values], "v double").select(at, "v", F.lit("g").alias("g")).coalesce(1)
+        df.write.mode("append").parquet(source)
+        seen += values
+        jobs.daily_stream(spark, source, df.schema, totals, "at", "v", "g", late="9 days").awaitTermination()
+        jobs.profile_stream(spark, source, df.schema, profiled).awaitTermination()
+        (day,) = rows(jobs.daily_table(spark, totals, "g"))
+        assert day["rows"] == len(seen) and day["amount"] == pytest.approx(sum(seen))
+        (v,) = [r for r in rows(spark.read.parquet(profiled)) if r["column_name"] == "v"]
+        assert v["row_count"] == len(seen) and v["mean"] == pytest.approx(sum(seen) / len(seen))
+    assert spark.read.parquet(totals).select("batch").distinct().count() >= 3
+
+
 def test_daily_stream_over_several_triggers(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.range(48).select(F.timestamp_seconds(F.col("id") * 3600).alias("at"), F.lit(1.0).alias("v"), F.lit("g").alias("g"))
     df.repartition(6).write.parquet(source)
     totals = jobs.daily_totals(jobs.file_stream(spark, source, df.schema, files_per_trigger=1), "at", "v", "g", "9 days")
-    jobs._updates(totals.select(F.col("day.start").alias("day"), "g", "rows", "amount"), target, "many").awaitTermination()
+    jobs._updates(totals.select(F.col("day.start").alias("day"), "g", "rows", "amount"), target).awaitTermination()
     assert spark.read.parquet(target).select("batch").distinct().count() >= 6
     assert [(r["rows"], r["amount"]) for r in rows(jobs.daily_table(spark, target, "g"), "day")] == [(24, 24.0)] * 2

@@ -115,6 +115,22 @@ def test_missing_features_are_imputed(blobs):
     assert result.features == ["spend", "visits", "level"] and result.assigned.count() == 120
 
 
+def test_not_a_number_is_missing(blobs):
+    odd = blobs.withColumn("spend", F.when(F.col("row_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("spend")))
+    got = {r.row_id: r.spend for r in prep.impute_median(odd, ["spend"]).collect()}
+    nulls = blobs.withColumn("spend", F.when(F.col("row_id") % 9 != 0, F.col("spend")))
+    assert got == {r.row_id: r.spend for r in prep.impute_median(nulls, ["spend"]).collect()}
+    result = clustering.cluster_table(odd, "row_id", ["spend", "visits"], max_k=3, restarts=1)
+    assert result.assigned.count() == 120 and result.silhouette > 0
+
+
+def test_number_of_clusters_is_honoured_or_refused(blobs):
+    with pytest.raises(ValueError, match="between 2 and max_k"):
+        clustering.cluster_table(blobs, "row_id", ["spend", "visits"], n_clusters=9)
+    result = clustering.cluster_table(blobs, "row_id", ["spend", "visits"], n_clusters=9, max_k=9, restarts=1)
+    assert result.k == 9 and [c["k"] for c in result.curve] == list(range(2, 10))
+
+
 def test_too_little_data(blobs):
     with pytest.raises(ValueError, match="minimum 10 rows"):
         clustering.cluster_table(blobs.limit(9), "row_id", ["spend", "visits"])
@@ -176,11 +192,18 @@ def test_regression_board(labelled):
     assert 0.99 < board["Ridge Regression"]["r2_score"] < 1.0
 
 
-def test_many_levels_are_hashed(labelled, monkeypatch):
+def test_hashing_is_chosen_by_the_caller(labelled, monkeypatch):
+    encoded = supervised.encode(labelled, "row", "outcome", ["x", "colour"], "classification", hash_slots=64)
+    assert len(encoded.slots) == 1 + 64 == encoded.rows.first().features.size
     monkeypatch.setattr(supervised, "MOST_LEVELS", 1)
-    encoded = supervised.encode(labelled, "row", "outcome", ["x", "colour"], "classification")
-    assert len(encoded.slots) == 1 + supervised.HASH_SLOTS
-    assert encoded.rows.first().features.size == len(encoded.slots)
+    with pytest.raises(ValueError, match="hash_slots"):
+        supervised.encode(labelled, "row", "outcome", ["x", "colour"], "classification")
+
+
+def test_too_many_classes_are_refused(labelled):
+    words = labelled.withColumn("word", F.concat(F.lit("w"), F.col("row")))
+    with pytest.raises(ValueError, match="more than 100 classes"):
+        supervised.compare_models(words, "row", "word", ["x"])
 
 
 def test_unseen_categories_become_zeros(labelled):
