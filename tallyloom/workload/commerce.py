@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import standardise
 from tallyloom.operators import cleaning, dashboard, directory, rfm
+from tallyloom.plans import dashboards
 from tallyloom.workload.inputs import (
     CUSTOMERS,
     LINES,
@@ -715,3 +716,122 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.col("attributes")["o_orderpriority"].alias("first_priority"),
         listed.scalar().alias("records"),
     )
+
+
+# --- tables whose columns are not known beforehand ---------------------------
+
+
+def distinct_counts(df: DataFrame) -> dict[str, int]:
+    """Values of each column, as the profile has them; a number per column."""
+    return df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).first().asDict()
+
+
+@query(
+    "dashboard_ecommerce",
+    f"""WITH {LINES}, c AS (SELECT customer_id, count(DISTINCT invoice_id) AS n FROM lines GROUP BY 1),
+    m AS (SELECT strftime(order_date, '%Y-%m') AS label, CAST(sum(quantity) AS DOUBLE) AS value, count(*) AS rows FROM lines
+          GROUP BY 1 ORDER BY 1 DESC LIMIT 12),
+    p AS (SELECT country AS label, CAST(sum(quantity) AS DOUBLE) AS value, count(*) AS rows FROM lines
+          GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
+    s AS (SELECT country AS label, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lines) AS value, count(*) AS rows FROM lines
+          GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5)
+    SELECT 'kpi' AS section, 'Total Revenue' AS label, CAST(sum(total_price) AS DOUBLE) AS value, NULL::BIGINT AS rows FROM lines
+    UNION ALL SELECT 'kpi', 'Total Orders', count(DISTINCT invoice_id)::DOUBLE, NULL FROM lines
+    UNION ALL SELECT 'kpi', 'Active Customers', count(DISTINCT customer_id)::DOUBLE, NULL FROM lines
+    UNION ALL SELECT 'kpi', 'Repeat Rate', (count(*) FILTER (n > 1) * 100)::DOUBLE / count(*)::DOUBLE, NULL FROM c
+    UNION ALL SELECT 'trend', * FROM m UNION ALL SELECT 'items', * FROM p UNION ALL SELECT 'places', * FROM p
+    UNION ALL SELECT 'shares', * FROM s""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Products are too many for a chart, so that the countries are the items too."""
+    lines = sales_lines(spark, sf, product=True, country=True).drop("line_id")
+    counts = {"country": 25, "product": 1_000_000, "customer_id": 1_000_000, "invoice_id": 1_000_000}
+    return dashboards.table_dashboard(lines, counts, "ecommerce")
+
+
+STAFF = """staff AS (
+  SELECT s_suppkey AS employee_id, n_name AS department, CAST(s_acctbal AS DECIMAL(12,2)) AS salary, s_suppkey % 15 AS years_at_company,
+         CASE WHEN s_suppkey % 7 = 0 THEN 'Yes' ELSE 'No' END AS attrition
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+)"""
+
+
+@query(
+    "dashboard_workforce",
+    f"""WITH {STAFF}, d AS (SELECT department AS label, CAST(sum(salary) AS DOUBLE) AS value, count(*) AS rows FROM staff
+                         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
+    s AS (SELECT department AS label, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM staff) AS value, count(*) AS rows FROM staff
+          GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5)
+    SELECT 'kpi' AS section, 'Total Workforce' AS label, count(DISTINCT employee_id)::DOUBLE AS value, NULL::BIGINT AS rows FROM staff
+    UNION ALL SELECT 'kpi', 'Average Salary', CAST(sum(salary) AS DOUBLE) / count(salary), NULL FROM staff
+    UNION ALL SELECT 'kpi', 'Average Tenure', sum(years_at_company)::DOUBLE / count(*), NULL FROM staff
+    UNION ALL SELECT 'kpi', 'Attrition Rate', (count(*) FILTER (attrition = 'Yes') * 100)::DOUBLE / count(*)::DOUBLE, NULL FROM staff
+    UNION ALL SELECT 'items', * FROM d UNION ALL SELECT 'places', * FROM d UNION ALL SELECT 'shares', * FROM s""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    staff = (
+        table(spark, sf, "supplier")
+        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("s_suppkey").alias("employee_id"),
+            F.col("n_name").alias("department"),
+            F.col("s_acctbal").cast("decimal(12,2)").alias("salary"),
+            (F.col("s_suppkey") % 15).alias("years_at_company"),
+            F.when(F.col("s_suppkey") % 7 == 0, "Yes").otherwise("No").alias("attrition"),
+        )
+    )
+    return dashboards.table_dashboard(staff, {"department": 25}, "hr")
+
+
+@query(
+    "dashboard_generic",
+    """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS value,
+                  count(*) AS rows FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 12),
+    p AS (SELECT o_orderpriority AS label, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS value, count(*) AS rows
+          FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
+    s AS (SELECT o_orderpriority AS label, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM orders) AS value, count(*) AS rows
+          FROM orders GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5)
+    SELECT 'kpi' AS section, 'Total Records' AS label, count(*)::DOUBLE AS value, NULL::BIGINT AS rows FROM orders
+    UNION ALL SELECT 'kpi', 'Total Features', 4, NULL UNION ALL SELECT 'kpi', 'Numeric Variables', 2, NULL
+    UNION ALL SELECT 'kpi', 'Missing Cells', 0, NULL
+    UNION ALL SELECT 'trend', * FROM m UNION ALL SELECT 'items', * FROM p UNION ALL SELECT 'shares', * FROM s""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    orders = order_log(spark, sf).select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = orders.withColumnRenamed("o_orderkey", "record_id")
+    return dashboards.table_dashboard(orders, distinct_counts(orders), "generic-tabular")
+
+
+@query(
+    "sales_page",
+    f"""WITH {LINES}, m AS (SELECT strftime(order_date, '%Y-%m') AS label, CAST(sum(total_price) AS DOUBLE) AS value, count(*) AS rows
+                         FROM lines GROUP BY 1),
+    p AS (SELECT product AS label, CAST(sum(total_price) AS DOUBLE) AS value, count(*) AS rows FROM lines
+          GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+    c AS (SELECT country AS label, CAST(sum(total_price) AS DOUBLE) AS value, count(*) AS rows FROM lines
+          GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+    SELECT 'total' AS section, 'revenue' AS label, CAST(sum(total_price) AS DOUBLE) AS value, count(*) AS rows FROM lines
+    UNION ALL SELECT 'monthly', * FROM m UNION ALL SELECT 'products', label[1:35], value, rows FROM p
+    UNION ALL SELECT 'places', * FROM c""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboards.sales_page(sales_lines(spark, sf, product=True, country=True))
+
+
+@query(
+    "any_directory",
+    f"""WITH {STAFF} SELECT department AS customer_code, count(*) AS total_orders, CAST(sum(salary) AS DOUBLE) AS total_revenue,
+        'Global' AS country FROM staff GROUP BY 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Departments of a staff list: the place keyword finds the entity itself, which is no place of its own."""
+    staff = (
+        table(spark, sf, "supplier")
+        .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("department"),
+            F.col("s_suppkey").alias("employee_id"),
+            F.col("s_acctbal").cast("decimal(12,2)").alias("salary"),
+        )
+    )
+    return dashboards.any_directory(staff, "employee_id")
