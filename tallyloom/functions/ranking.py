@@ -150,9 +150,9 @@ def long_counts(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()
 
 def rows_below(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_below`` and ``<column>_ties`` (rows under and at the value) and
-    ``n``. Looked up by value in a distinct-value table, column by column; small
+    ``n``. Looked up by value in a distinct-value table, stored once, column by column; small
     tables are broadcast and hot values split by adaptive execution."""
-    ranks = running_counts(long_counts(df, columns), ["column_name"], "value")
+    ranks = materialise(running_counts(long_counts(df, columns), ["column_name"], "value"), "ranks")
     for column in columns:
         lookup = ranks.where(F.col("column_name") == column).select(
             F.col("value").alias(f"_{column}"),

@@ -33,7 +33,7 @@ def kpi_summary(orders: DataFrame, start: date, end: date) -> DataFrame:
     before_start, before_end = prior_window(start, end)
     now = F.col("order_date").between(F.lit(start), F.lit(end))
     then = F.col("order_date").between(F.lit(before_start), F.lit(before_end))
-    amount = F.col("total_price")
+    amount = known(F.col("total_price"))
     per_customer = orders.groupBy("customer_id").agg(
         F.sum(F.when(now, amount)).alias("now_revenue"),
         F.count_if(now).alias("now_lines"),
@@ -41,14 +41,14 @@ def kpi_summary(orders: DataFrame, start: date, end: date) -> DataFrame:
         F.count_if(then).alias("then_lines"),
         F.count(F.lit(1)).alias("all_lines"),
     )
-    known = F.col("customer_id").isNotNull()
+    named = F.col("customer_id").isNotNull()
     sums = per_customer.agg(
         total(F.col("now_revenue")).alias("now_revenue"),
         F.coalesce(F.sum("now_lines"), F.lit(0)).alias("now_lines"),
-        F.count_if(known & (F.col("now_lines") > 0)).alias("now_customers"),
+        F.count_if(named & (F.col("now_lines") > 0)).alias("now_customers"),
         total(F.col("then_revenue")).alias("then_revenue"),
         F.coalesce(F.sum("then_lines"), F.lit(0)).alias("then_lines"),
-        F.count_if(known & (F.col("then_lines") > 0)).alias("then_customers"),
+        F.count_if(named & (F.col("then_lines") > 0)).alias("then_customers"),
         F.count_if(F.col("all_lines") > 1).alias("repeaters"),
     ).withColumns(
         {
@@ -87,7 +87,7 @@ def commerce_kpis(df: DataFrame, customer: str, invoice: str, amount: str) -> Da
     One scan with two grouping sets replaces three distinct counts.
     """
     pieces = df.groupingSets([[customer, invoice], [invoice]], customer, invoice).agg(
-        F.grouping(customer).alias("whole"), F.sum(amount).alias("amount")
+        F.grouping(customer).alias("whole"), F.sum(known(F.col(amount))).alias("amount")
     )
     per_customer = pieces.groupBy("whole", customer).agg(
         F.count(invoice).alias("orders"), F.sum("amount").alias("amount")

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.exprs import as_timestamp, ratio
 from tallyloom.functions.ranking import (
-    exact_quantiles,
     global_rank,
     quintile_by_edges,
     quintile_by_rank,
     quintile_by_share,
     rows_below,
-    value_counts,
 )
 from tallyloom.session import materialise
 
@@ -91,27 +89,43 @@ def rank_quintiles(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame
 
     All metrics are ranked together in one range shuffle of (metric, value, key).
     """
+    return _fifths(_ranked(df, key, metrics), key, metrics)
+
+
+def _ranked(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
+    """(key, metric, value, rank, n) from one range shuffle of (metric, value, key)."""
     long = df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         [key], list(metrics), "metric", "value"
     )
-    ranked = global_rank(long, "value", [key], ["metric"])
+    return global_rank(long, "value", [key], ["metric"])
+
+
+def _fifths(ranked: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     fifth = quintile_by_rank(F.col("rank"), F.col("n"))
     return ranked.groupBy(key).agg(
         *[F.max(F.when(F.col("metric") == m, fifth)).alias(f"{m}_fifth") for m in metrics]
     )
 
 
-def value_quintile(df: DataFrame, column: str) -> Column:
-    """Fifth of the value itself, cut at the exact 20/40/60/80 % quantiles.
+def _value_fifth(ranked: DataFrame, column: str) -> Column:
+    """Fifth of the value itself, cut at the exact 20/40/60/80 % quantiles, which are read
+    off the ranks.
 
     Repeated cut points are allowed; a value's fifth counts the cuts below it.
     """
-    counts = value_counts(df.select(F.col(column).cast("double").alias("value")), [], "value")
-    cuts = exact_quantiles(counts, [], "value", [0.2, 0.4, 0.6, 0.8])
-    edges = cuts.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("probability", "quantile"))), lambda c: c["quantile"])
-    ).scalar()
-    return quintile_by_edges(F.col(column), edges)
+    mine = ranked.where(F.col("metric") == column)
+    cuts = []
+    for share in (0.2, 0.4, 0.6, 0.8):
+        at = (F.col("n") - 1) * F.lit(share)
+        low = F.max(F.when(F.col("rank") - 1 == F.floor(at), F.col("value")))
+        high = F.max(F.when(F.col("rank") - 1 == F.ceil(at), F.col("value")))
+        cuts.append(low + (high - low) * F.max(at - F.floor(at)))
+    return quintile_by_edges(F.col(column), mine.agg(F.array(*cuts)).scalar())
+
+
+def value_quintile(df: DataFrame, column: str, key: str = "customer_code") -> Column:
+    """The fifth of a column by its value, for a frame with a unique key."""
+    return _value_fifth(_ranked(df, key, [column]), column)
 
 
 def combined_score(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> Column:
@@ -120,8 +134,9 @@ def combined_score(r: str = "r_score", f: str = "f_score", m: str = "m_score") -
 
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Score an ``rfm_base`` table: recency by value, frequency and spend by rank."""
-    fifths = rank_quintiles(base, "customer_code", ["frequency", "monetary"])
-    scored = base.withColumn("r_score", 6 - value_quintile(base, "recency_days")).join(fifths, "customer_code")
+    ranked = _ranked(base, "customer_code", ["recency_days", "frequency", "monetary"])
+    fifths = _fifths(ranked, "customer_code", ["frequency", "monetary"])
+    scored = base.withColumn("r_score", 6 - _value_fifth(ranked, "recency_days")).join(fifths, "customer_code")
     return scored.withColumnsRenamed({"frequency_fifth": "f_score", "monetary_fifth": "m_score"}).withColumn(
         "rfm_score", combined_score()
     )
