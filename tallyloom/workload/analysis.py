@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import clustering, insights, prep, stats, supervised
-from tallyloom.workload.commerce import RFM_ASOF, relations, segments_of
+from tallyloom.workload.commerce import RFM_ASOF, RFM_SCORES, relations, segments_of
 from tallyloom.workload.inputs import LINES, order_log, sales_lines, table
 from tallyloom.workload.profiling import PROFILE, numeric_sql, stored_profile, tables
 
@@ -137,13 +137,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """WITH g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer WHERE c_custkey % 9 <> 0 GROUP BY 1),
     t AS (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS grand, count(*) OVER () AS k, sum(n) OVER () AS total FROM g)
     SELECT round((sum(n * (m - grand) * (m - grand)) / (max(k) - 1)) / (sum((n - 1) * v) / (max(total) - max(k))), 6) AS statistic,
-           CAST(max(k) - 1 AS BIGINT) AS dof1, CAST(max(total) - max(k) AS BIGINT) AS dof2 FROM t""",
+           CAST(max(k) - 1 AS BIGINT) AS dof1, CAST(max(total) - max(k) AS BIGINT) AS dof2,
+           -- With four degrees of freedom above, the tail of F is finite: x^a (1 + a (1 - x)).
+           round((SELECT pow(x, d / 2) * (1 + d / 2 * (1 - x)) FROM (SELECT d, d / (d + 4 * f) AS x FROM (
+             SELECT (max(total) - max(k))::DOUBLE AS d,
+                    (sum(n * (m - grand) * (m - grand)) / 4) / (sum((n - 1) * v) / (max(total) - max(k))) AS f FROM t))), 6) AS p_value
+    FROM t""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer")
     customer = customer.withColumn("c_acctbal", F.when(F.col("c_custkey") % 9 == 0, NAN).otherwise(F.col("c_acctbal")))
     test = stats.anova_oneway(customer, "c_mktsegment", "c_acctbal")
-    return rounded(test, 6, "statistic").drop("p_value")
+    return rounded(test, 6, "statistic", "p_value")
 
 
 @query(
@@ -151,11 +156,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2),
     e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / (sum(n) OVER ())::DOUBLE AS e FROM c)
     SELECT round(sum((n - e) * (n - e) / e), 6) AS statistic,
-           (SELECT (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) FROM c) AS dof FROM e""",
+           (SELECT (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) FROM c) AS dof,
+           -- With eight degrees of freedom the tail is finite.
+           round((SELECT exp(-h) * (1 + h + h * h / 2 + h * h * h / 6) FROM (SELECT sum((n - e) * (n - e) / e) / 2 AS h FROM e)), 6) AS p_value
+    FROM e""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     test = stats.chi_square(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
-    return rounded(test, 6, "statistic").drop("p_value")
+    return rounded(test, 6, "statistic", "p_value")
 
 
 @query(
@@ -326,7 +334,39 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("customer_code", "cluster", "segment_label", "pca_x", "pca_y")
 
 
-@query("silhouette")
+@query(
+    "segments_checked",
+    f"""WITH {RFM_SCORES} SELECT customer_code, recency_days, frequency, monetary, r_score, f_score, m_score, true AS labelled
+    FROM scored""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The segmented customers without what the clusters decide: every one has scores, a cluster, a place and a label."""
+    placed, found = clustering.customer_segments(segments_of(spark, sf).drop("segment_label"))
+    labelled = F.col("cluster").between(0, found.k - 1) & F.col("segment_label").isNotNull() & ~F.isnan("pca_x") & ~F.isnan("pca_y")
+    return placed.select(
+        "customer_code",
+        "recency_days",
+        "frequency",
+        F.col("monetary").cast("double").alias("monetary"),
+        "r_score",
+        "f_score",
+        "m_score",
+        labelled.alias("labelled"),
+    )
+
+
+@query(
+    "silhouette",
+    """WITH z AS (
+      SELECT (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+             (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y, c_acctbal > 4500 AS c FROM customer
+    ), s AS (SELECT c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM z GROUP BY c),
+    d AS (
+      SELECT (own.n * (x * x + y * y) - 2 * (x * own.sx + y * own.sy) + own.q) / (own.n - 1) AS a,
+             (x * x + y * y) - 2 * (x * other.sx + y * other.sy) / other.n + other.q / other.n AS b
+      FROM z JOIN s own ON own.c = z.c JOIN s other ON other.c <> z.c)
+    SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM d""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """How well a split at a balance of 4500 separates the customers."""
     labelled = table(spark, sf, "customer").select(
@@ -338,14 +378,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     points = clustering.vectors(labelled, "c_custkey", ["c_acctbal", "nation"]).join(
         labelled.select("c_custkey", "cluster"), "c_custkey"
     )
-    return spark.createDataFrame([(clustering.silhouette(points),)], "silhouette double")
+    return rounded(spark.createDataFrame([(clustering.silhouette(points),)], "silhouette double"), 6, "silhouette")
 
 
-@query("pca_2d")
+@query(
+    "pca_2d",
+    """WITH z AS (
+      SELECT p_partkey, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS a,
+             (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS b,
+             CASE WHEN corr(p_size, p_retailprice) OVER () >= 0 THEN 1 ELSE -1 END AS s FROM part)
+    SELECT p_partkey, round((a + s * b) / sqrt(2), 6) AS pca_x, round((a - s * b) / sqrt(2), 6) AS pca_y FROM z""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part")
     points, _ = clustering.project_2d(clustering.vectors(parts, "p_partkey", ["p_size", "p_retailprice"]))
-    return points.select("p_partkey", "pca_x", "pca_y")
+    return rounded(points.select("p_partkey", "pca_x", "pca_y"), 6, "pca_x", "pca_y")
 
 
 @query("persona_labels")
