@@ -189,6 +189,14 @@ def entity_directory(df: DataFrame, entity: str, row_key: str, amount: str | Non
     )
 
 
+def _is_value(df: DataFrame, column: str, value: str) -> Column:
+    """The column's text equals the value. The value is brought to the column's type, so
+    that the scan can skip by it; a value that reads otherwise in that type fits nothing."""
+    text = F.lit(str(value))
+    typed = text.try_cast(df.schema[column].dataType)
+    return (F.col(column) == typed) & (typed.cast("string") == text)
+
+
 def entity_summary(
     df: DataFrame,
     entity: str,
@@ -200,7 +208,7 @@ def entity_summary(
     attributes: int = 12,
 ) -> DataFrame:
     """Totals, first place, last activity and the first row's attributes of one entity."""
-    rows = df.where(F.col(entity).cast("string") == F.lit(str(value)))
+    rows = df.where(_is_value(df, entity, value))
     pairs = []
     for name in df.columns[:attributes]:
         pairs += [F.lit(name), F.col(name).cast("string")]
@@ -221,4 +229,4 @@ def entity_summary(
 
 def entity_records(df: DataFrame, entity: str, value: str, row_key: str, k: int = 10) -> DataFrame:
     """The entity's first k rows in key order."""
-    return df.where(F.col(entity).cast("string") == F.lit(str(value))).orderBy(row_key).limit(k)
+    return df.where(_is_value(df, entity, value)).orderBy(row_key).limit(k)

@@ -12,6 +12,7 @@ from tallyloom.functions.columns import numeric_columns, text_columns
 from tallyloom.functions.exprs import one_row
 from tallyloom.operators import catalog, clustering, dashboard, insights, profile, stats, supervised
 from tallyloom.sources.files import preview_json
+from tallyloom.session import scratch_scope
 from tallyloom.sources.sinks import write_results
 
 
@@ -163,7 +164,8 @@ def run_full_analysis(
     status = []
     for name in modules:
         try:
-            message = steps[name]()
+            with scratch_scope(spark):
+                message = steps[name]()
             state = "skipped" if message.startswith("skipped") else "completed"
         except Exception as error:  # one module's failure is reported, not raised
             state, message = "failed", f"{type(error).__name__}: {error}"
@@ -184,8 +186,9 @@ def train_catalog(
     for dataset_id, (df, key) in tables.items():
         try:
             goal = supervised.pick_batch_target([c for c in df.columns if c != key])
-            best = supervised.compare_models(df, key, goal, trees=trees, boosts=boosts)
-            write_results(supervised.metrics_long(best.leaderboard), f"{output}/model_metrics", dataset_id)
+            with scratch_scope(spark):
+                best = supervised.compare_models(df, key, goal, trees=trees, boosts=boosts)
+                write_results(supervised.metrics_long(best.leaderboard), f"{output}/model_metrics", dataset_id)
             status.append((dataset_id, "completed", f"{best.best_model} for {goal}"))
         except Exception as error:  # report and train the next dataset
             status.append((dataset_id, "failed", f"{type(error).__name__}: {error}"))

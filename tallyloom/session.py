@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +48,32 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tallyloom-")
 
 
+#: Paths of the open ``scratch_scope``, if there is one.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/tallyloom/{label}-{uuid.uuid4().hex}"
+    opened = _scope.get()
+    if opened is not None:
+        opened.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediates that are stored inside the block are deleted when it ends. Its results
+    must be written or collected by then; scopes may be nested."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -94,3 +94,13 @@ def test_actions(spark):
     df = spark.createDataFrame([(rfm.VIP,), ("?",), (None,)], "s string").select("s", directory.segment_actions(F.col("s")).alias("a"))
     got = {r.s: r.a for r in df.collect()}
     assert got[rfm.VIP][0] == "Offer exclusive loyalty rewards" and got["?"] == got[None] == directory.DEFAULT_PLAY
+
+
+def test_entity_key_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "cast(id % 7 AS string) AS name", "cast(id AS decimal(10,2)) AS price").write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = directory.entity_records(df, "id", "7", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,7)" in plan
+    for column, value, found in [("id", "7", 1), ("id", "07", 0), ("id", "x", 0), ("name", "3", 14), ("price", "7.00", 1), ("price", "7", 0)]:
+        assert len(directory.entity_records(df, column, value, "id", 50).collect()) == found, (column, value)

@@ -107,6 +107,22 @@ def test_only_a_local_session_may_use_its_own_folder():
     assert shared_folder(Settings(spark_master="yarn", spark_checkpoint_dir="hdfs:/shared")) == "hdfs:/shared"
 
 
+def test_intermediates_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from tallyloom.session import materialise, scratch_scope
+
+    def stored(df):
+        return Path(df.inputFiles()[0].removeprefix("file:")).parent
+
+    kept = stored(materialise(spark.range(3), "kept"))
+    with scratch_scope(spark):
+        inner = materialise(spark.range(3), "inner")
+        folder = stored(inner)
+        assert inner.count() == 3 and folder.exists()
+    assert kept.exists() and not folder.exists()
+
+
 def test_streamed_profile_equals_the_batch(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") / 2).alias("v"), F.lit("x").alias("s"))
