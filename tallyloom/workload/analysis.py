@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import clustering, insights, prep, stats, supervised
 from tallyloom.workload.commerce import RFM_ASOF, RFM_SCORES, relations, segments_of
-from tallyloom.workload.inputs import LINES, order_log, sales_lines, table
+from tallyloom.workload.inputs import LINES, order_log, registry, sales_lines, table
 from tallyloom.workload.profiling import PROFILE, numeric_sql, stored_profile, tables
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(function):
-        Q[name] = function
-        if sql is not None:
-            SQL[name] = sql
-        return function
-
-    return keep
+Q, SQL, query = registry()
 
 
 NAN = float("nan")

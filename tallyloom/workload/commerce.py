@@ -17,6 +17,7 @@ from tallyloom.workload.inputs import (
     customers,
     order_log,
     raw_log,
+    registry,
     sales_lines,
     table,
 )
@@ -24,20 +25,7 @@ from tallyloom.workload.inputs import (
 START, END = date(1998, 1, 1), date(1998, 12, 31)
 TODAY = date(2001, 8, 2)
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL where there is one."""
-
-    def keep(function):
-        Q[name] = function
-        if sql is not None:
-            SQL[name] = sql
-        return function
-
-    return keep
+Q, SQL, query = registry()
 
 
 def doubles(df: DataFrame, *names: str) -> DataFrame:

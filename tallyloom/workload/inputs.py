@@ -6,10 +6,30 @@ partitioned. Each view has a SQL twin below.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def registry() -> tuple[dict[str, Callable], dict[str, str], Callable]:
+    """A module's queries, their SQL, and the decorator that registers a query, with its SQL
+    where there is one."""
+    queries: dict[str, Callable] = {}
+    sqls: dict[str, str] = {}
+
+    def query(name: str, sql: str | None = None):
+        def keep(function):
+            queries[name] = function
+            if sql is not None:
+                sqls[name] = sql
+            return function
+
+        return keep
+
+    return queries, sqls, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,20 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import catalog, profile, supervised
-from tallyloom.workload.inputs import money, table
+from tallyloom.workload.inputs import money, registry, table
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(function):
-        Q[name] = function
-        if sql is not None:
-            SQL[name] = sql
-        return function
-
-    return keep
+Q, SQL, query = registry()
 
 
 # Column kinds of the driver's tables, for writing the SQL.

@@ -11,20 +11,9 @@ from tallyloom.session import scratch_path
 from tallyloom.sources import files, sinks
 from tallyloom.streaming import jobs
 from tallyloom.workload.analysis import price_drivers
-from tallyloom.workload.inputs import money, raw_log, table
+from tallyloom.workload.inputs import money, raw_log, registry, table
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(function):
-        Q[name] = function
-        if sql is not None:
-            SQL[name] = sql
-        return function
-
-    return keep
+Q, SQL, query = registry()
 
 
 # --- sources ---------------------------------------------------------------
