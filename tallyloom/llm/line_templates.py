@@ -2,18 +2,22 @@
 
 A line's path in the tree has a fixed depth: its number of tokens, then its leading tokens, where a token with a digit is a
 variable. In a leaf, a token that no other document has at its position is a variable field as well. A line whose tokens are
-constant in ``SIMILARITY`` per cent of its positions or more stands for its template, any other for itself. A template that occurs in
-several documents stays in the one with the smallest id and is dropped from the others.
+constant in ``SIMILARITY`` per cent of its positions or more stands for its template, any other for itself. A template that
+occurs in several documents stays in the one with the smallest id and is dropped from the others.
 
 Everything is aggregated by hashes of lines; only lines in leaves that hold different lines are cut into tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.session import materialise
@@ -24,37 +28,90 @@ DEPTH = 3
 SIMILARITY = 80
 #: Tokens without a digit that a line must have to be dropped; shorter lines recur by chance.
 MIN_WORDS = 3
-#: Up to so many leaves (16 bytes each) are sent to every executor; more are joined by a shuffle.
-BROADCAST_LEAVES = 200_000
-
-_SPACE = r"[\x20\x09-\x0D]+"
-#: From the start of a token to its end, if a digit is in it. Possessive, so that long tokens cost linear time.
-_VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
-
-
-def masked(line: Column) -> Column:
-    """Tokens with one space between, ``<*>`` for each that has a digit."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _SPACE, " ")), _VARIABLE, "<*>")
-
-
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each line that may be dropped: document, its text's hash, line number, masked line, leaf and line hash."""
+#: Up to so many leaves with different lines (8 bytes each, some 60 in Python) are sent to every worker; more are joined by a
+#: shuffle of all lines.
+BROADCAST_LEAVES = 500_000
+
+_DIGIT = re.compile(rb"[0-9]")
+_VARIABLE = b"<*>"
+#: Lines that leave Python at a time.
+LINES_OUT = 20_000
+
+
+def parsed_lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Number (from 0) and tokens of each line that may be dropped; a token with a digit is ``<*>``."""
+    for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        tokens = line.split()
+        if len(tokens) < MIN_WORDS:
+            continue
+        if _DIGIT.search(line):
+            tokens = [_VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        if len(tokens) - tokens.count(_VARIABLE) >= MIN_WORDS:
+            yield number, tokens
+
+
+def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None = None, whole: bool = False) -> DataFrame:
+    """Each line that may be dropped: ``id``, ``version`` (hash of the text), ``line_no``, ``leaf``, ``hash`` and, for ``whole``
+    lines, ``line`` and ``tokens``. Only lines in ``leaves`` (sorted numbers), if given."""
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    lines = docs.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "version", "line_no", masked(F.col("line")).alias("line"))
-    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    variables = (F.length("line") - F.length(F.replace(F.col("line"), F.lit("<*>"), F.lit("")))) / 3
-    lines = lines.withColumn("tokens", tokens).where((F.length("line") > 0) & (F.col("tokens") - variables >= MIN_WORDS))
-    lead = F.substring_index("line", " ", DEPTH)
-    return lines.withColumns({"leaf": F.xxhash64("tokens", lead), "hash": F.xxhash64("line")})
+    digest = xxhash.xxh64_intdigest
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if leaves is None else set(leaves.value.tolist())
+        for batch in batches:
+            texts, at, numbers, paths, hashes, lines, counts = batch.column(2), [], [], [], [], [], []
+
+            def ready() -> pa.RecordBatch:
+                taken = pa.array(at, pa.int64())
+                columns = {
+                    "id": batch.column(0).take(taken),
+                    "version": batch.column(1).take(taken),
+                    "line_no": pa.array(numbers, pa.int32()),
+                    "leaf": pa.array(np.array(paths, np.uint64).view(np.int64)),
+                    "hash": pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                }
+                if whole:
+                    columns |= {"line": pa.array(lines, pa.string()), "tokens": pa.array(counts, pa.int32())}
+                for column in (at, numbers, paths, hashes, lines, counts):
+                    column.clear()
+                return pa.record_batch(columns)
 
-def _templates(lines: DataFrame, open_leaves: DataFrame) -> DataFrame:
+            for i in range(batch.num_rows):
+                for number, tokens in parsed_lines(texts[i].as_py()):
+                    path = digest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH])))
+                    if asked is not None and _signed(path) not in asked:
+                        continue
+                    joined = b" ".join(tokens)
+                    at.append(i)
+                    numbers.append(number)
+                    paths.append(path)
+                    hashes.append(digest(joined))
+                    if whole:
+                        lines.append(joined.decode("utf-8", "surrogatepass"))
+                        counts.append(len(tokens))
+                if len(at) >= LINES_OUT:
+                    yield ready()
+            if at:
+                yield ready()
+
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, version bigint, line_no int, leaf bigint, hash bigint" + (", line string, tokens int" if whole else "")
+    return docs.mapInArrow(run, schema)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _templates(df: DataFrame, id_col: str, text_col: str, open_leaves: DataFrame) -> DataFrame:
     """``leaf``, ``hash`` and ``template`` for each different line of the open leaves that stands for a template."""
+    spark = df.sparkSession
     if open_leaves.count() <= BROADCAST_LEAVES:
-        open_leaves = F.broadcast(open_leaves)
-    inside = lines.join(open_leaves, "leaf", "left_semi")
+        known = np.array([r.leaf for r in open_leaves.collect()], dtype=np.int64)
+        inside = _lines(df, id_col, text_col, spark.sparkContext.broadcast(known), whole=True)
+    else:
+        inside = _lines(df, id_col, text_col, whole=True).join(open_leaves, "leaf", "left_semi")
     different = inside.groupBy("leaf", "hash", "line", "tokens").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     different = materialise(different, "template-lines")
     cells = different.select(
@@ -72,12 +129,13 @@ def _templates(lines: DataFrame, open_leaves: DataFrame) -> DataFrame:
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``version`` (hash of the text) and ``line_no`` (from 0) of each line whose template stays in another document."""
-    lines = _lines(df, id_col, text_col)
-    keys = materialise(lines.select("id", "version", "line_no", "leaf", "hash"), "line-keys")
+    keys = materialise(_lines(df, id_col, text_col), "line-keys")
     different = keys.groupBy("leaf", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     different = materialise(different, "line-hashes")
-    several = different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    templates = materialise(_templates(lines, several), "line-templates")
+    several = different.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # Lines of one document alone can't recur from another.
+    several = materialise(several.where("n > 1 AND low <> high").select("leaf"), "open-leaves")
+    templates = materialise(_templates(df, id_col, text_col, several), "line-templates")
     known = different.join(templates, ["leaf", "hash"], "left").withColumns(
         {"template": F.coalesce("template", "hash"), "general": F.coalesce("general", F.lit(False))}
     )
@@ -104,11 +162,11 @@ def drop_recurring_lines(
     * ``drop_emptied``: documents from which lines were dropped and no word is left go.
     * A column of ``df`` named like ``count_col`` is replaced; without ``count_col`` the columns are those of ``df``.
     """
-    gone = recurring_lines(df, id_col, text_col).groupBy("id", "version").agg(F.collect_list("line_no").alias("__line_numbers"))
-    gone = gone.withColumnsRenamed({"id": "__line_id", "version": "__line_version"})
+    gone = recurring_lines(df, id_col, text_col).groupBy("id", "version").agg(F.collect_list("line_no").alias("numbers"))
     kept = df.drop(count_col) if count_col else df
-    on = (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(F.col(text_col)) == F.col("__line_version"))
-    joined = kept.join(gone, on, "left").drop("__line_id", "__line_version")
+    on = (kept[id_col] == gone["id"]) & (F.xxhash64(kept[text_col]) == gone["version"])
+    # By reference, not by name: the table may have columns of these names.
+    joined = kept.join(gone, on, "left").select([kept[f"`{c}`"] for c in kept.columns] + [gone["numbers"]])
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
