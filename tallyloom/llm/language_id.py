@@ -7,21 +7,21 @@ the most letters labels the text.
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: About so many labelled documents of each language train the model (all if there are fewer); chosen by a hash of the id.
 TRAIN_DOCUMENTS = 3_000
-#: The most frequent n-grams are kept, so many at most; this bounds the model that every worker holds.
-MAX_GRAMS = 40_000
-GRAM_LENGTHS = (1, 2, 3, 4)
+#: N-grams are hashed into so many slots; the model has a number for each slot and language.
+SLOT_BITS = 17
+GRAM_LENGTHS = 4
 #: Weight of an n-gram's log probability: n-grams of a word overlap.
 GRAM_WEIGHT = 0.4
 #: What a change of language costs, in log units.
@@ -30,10 +30,8 @@ SWITCH_PENALTY = 8.0
 SCRIPT_SHARE = 0.01
 #: What a word outside a language's scripts scores in it.
 OTHER_SCRIPT = -20.0
-#: Words that a worker remembers; when full, it starts anew.
-REMEMBERED_WORDS = 400_000
-#: Runs of letters are scored in pieces of this length.
-PIECE = 40
+#: Characters that are scored at a time; a longer text keeps only its words' scores.
+PIECE = 1 << 18
 UNKNOWN = "und"
 
 #: First and last code point of the letter blocks of each script.
@@ -60,23 +58,89 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 
-_RUNS = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{PIECE - 1}}}")
+#: Code points with properties of their own; those above are letters up to the last range of ``han``.
+_LISTED = 0x20000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def script_of(word: str) -> str:
-    """The script that most characters of the word belong to; ``other`` outside all ranges."""
-    if word.isascii():
-        return "latin"
-    votes = Counter(
-        next((name for name, ranges in SCRIPTS.items() if any(a <= ord(c) <= b for a, b in ranges)), "other") for c in word
-    )
-    return max(sorted(votes), key=votes.get)
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each listed code point: its lower case (of one character), whether it is a letter, whether it continues a word, and
+    the number of its script (0: none of them)."""
+    chars = [chr(c) for c in range(_LISTED)]
+    lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint64)
+    kinds = [unicodedata.category(c)[0] for c in chars]
+    letter = np.array([k == "L" for k in kinds])
+    script = np.zeros(_LISTED, np.int64)
+    for number, ranges in enumerate(SCRIPTS.values(), 1):
+        for first, last in ranges:
+            script[first : last + 1] = number
+    return lower, letter, letter | np.array([k == "M" for k in kinds]), script
 
 
-def grams_of(word: str) -> list[str]:
-    """The n-grams of a word in lower case, with a space on either side."""
-    padded = f" {word.lower()} "
-    return [padded[i : i + n] for n in GRAM_LENGTHS for i in range(len(padded) - n + 1)]
+@dataclass
+class Words:
+    """The runs of letters of a piece of text: first and last character of each, its script, and for every n-gram the slot and
+    the word."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    scripts: np.ndarray
+    slots: np.ndarray
+    owners: np.ndarray
+
+
+def words_of(points: np.ndarray) -> Words:
+    """Cut code points into words and hash the n-grams of each; a word's n-grams see one character of space on either side."""
+    lower, letter, joins, script = _characters()
+    listed = points < _LISTED
+    at = np.where(listed, points, 0)
+    high = ~listed & (points <= SCRIPTS["han"][-1][1])
+    within = np.where(listed, joins[at], high)
+    begins = np.where(listed, letter[at], high)
+    # A mark with no letter before it begins nothing.
+    opened = np.maximum.accumulate(np.where(begins, 2, 0) * np.arange(1, len(points) + 1))
+    closed = np.maximum.accumulate(np.where(within, 0, 2) * np.arange(1, len(points) + 1))
+    inside = within & (opened > closed)
+    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    numbers = np.where(listed[starts], script[at[starts]], len(SCRIPTS))
+
+    text = np.concatenate([[32], np.where(inside, np.where(listed, lower[at], points), 32), [32]]).astype(np.uint64)
+    is_word = np.concatenate([[False], inside, [False]])
+    owner = np.cumsum(np.concatenate([[0], edges == 1])) - 1
+    rolled, slots, owners = np.zeros(len(text), np.uint64), [], []
+    whole = np.ones(len(text), bool)
+    for n in range(1, GRAM_LENGTHS + 1):
+        size = len(text) - n + 1
+        if size <= 0:
+            break
+        rolled = rolled[:size] * _MIX + text[n - 1 :] + np.uint64(n)
+        first, last = is_word[:size], is_word[n - 1 :]
+        if n > 2:
+            # All but the first and the last character must be letters.
+            whole = whole[:size] & is_word[n - 2 : n - 2 + size]
+            good = whole
+        else:
+            good = first | last
+        hits = np.flatnonzero(good)
+        mixed = (rolled[hits] ^ (rolled[hits] >> np.uint64(29))) * _MIX
+        slots.append((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        owners.append(owner[np.where(first[hits], hits, hits + 1)])
+    return Words(starts, ends, numbers, np.concatenate(slots), np.concatenate(owners))
+
+
+def pieces_of(text: str) -> Iterator[tuple[int, Words]]:
+    """First character and words of each piece of a text. Pieces end between words, unless a word is longer than a piece."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    at = 0
+    while at < len(points):
+        end = min(at + PIECE, len(points))
+        if end < len(points):
+            spaces = np.flatnonzero(points[at:end] <= 32)
+            end = at + int(spaces[-1]) + 1 if len(spaces) else end
+        yield at, words_of(points[at:end])
+        at = end
 
 
 def held_out(id_col: Column) -> Column:
@@ -86,37 +150,32 @@ def held_out(id_col: Column) -> Column:
 
 @dataclass
 class Model:
-    """Languages, the score of each n-gram in each of them, and the languages of each script."""
+    """Languages, the score of each slot in each of them, and which of them use each script."""
 
     languages: list[str]
-    rows: dict[str, int]
     scores: np.ndarray
-    scripts: dict[str, list[int]]
+    allowed: np.ndarray
     share: np.ndarray
-    words: dict[str, int] = field(default_factory=dict)
-    table: np.ndarray | None = None
-
-    def word_score(self, word: str) -> np.ndarray:
-        rows = [r for r in map(self.rows.get, grams_of(word)) if r is not None]
-        score = self.scores[rows].sum(axis=0) if rows else np.zeros(len(self.languages), np.float32)
-        allowed = self.scripts.get(script_of(word), [])
-        if len(allowed) == len(self.languages):
-            return score
-        narrowed = np.full(len(self.languages), OTHER_SCRIPT if allowed else 0.0, np.float32)
-        narrowed[allowed] = score[allowed]
-        return narrowed
-
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word."""
-        if self.table is None or len(self.words) > REMEMBERED_WORDS:
-            self.words, self.table = {}, np.zeros((1024, len(self.languages)), np.float32)
-        for word in set(words).difference(self.words):
-            at = len(self.words)
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[at] = self.word_score(word)
-            self.words[word] = at
-        return self.table[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))]
+
+    def emissions(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of a text: first character, length, and its score in each language."""
+        starts, lengths, rows = [], [], []
+        for at, words in pieces_of(text):
+            n = len(words.starts)
+            if n:
+                table = self.scores[words.slots]
+                row = np.stack([np.bincount(words.owners, table[:, k], n) for k in range(len(self.languages))], axis=1)
+                allowed = self.allowed[words.scripts]
+                if not allowed.all():
+                    # Outside its scripts a language is out; a script that no language uses says nothing.
+                    row = np.where(allowed, row, OTHER_SCRIPT)
+                    row[~allowed.any(axis=1)] = 0.0
+                rows.append(row)
+                starts.append(words.starts + at)
+                lengths.append(words.ends - words.starts)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.languages)))
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(rows)
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Language, score and spans (language, first character, end) of a whole text.
@@ -125,25 +184,22 @@ class Model:
         probability of the language over these spans. Letters of scripts that no language uses say nothing, so that
         alone they give the most frequent language and its share.
         """
-        words = _RUNS.findall(text) if text else []
-        if not words or not self.languages:
+        if not text or not self.languages:
+            return UNKNOWN, 0.0, []
+        starts, letters, emitted = self.emissions(text)
+        if not len(starts):
             return UNKNOWN, 0.0, []
-        emitted = self.emissions(words)
-        path = best_path(emitted.astype(np.float64), SWITCH_PENALTY)
-        letters = np.fromiter(map(len, words), np.int64, len(words))
+        path = best_path(emitted, SWITCH_PENALTY)
         weight = np.bincount(path, letters, len(self.languages))
         if not emitted.any():
             weight = self.share
         best = int(weight.argmax())
-        own = emitted[path == best].sum(axis=0, dtype=np.float64) + np.log(self.share)
+        own = emitted[path == best].sum(axis=0) + np.log(self.share)
         chance = 1.0 / np.exp(np.minimum(own - own[best], 700)).sum()
-        return self.languages[best], float(weight[best] / weight.sum() * chance), self._spans(text, path)
+        return self.languages[best], float(weight[best] / weight.sum() * chance), self._spans(text, starts, path)
 
-    def _spans(self, text: str, path: np.ndarray) -> list[tuple[str, int, int]]:
+    def _spans(self, text: str, starts: np.ndarray, path: np.ndarray) -> list[tuple[str, int, int]]:
         cuts = np.flatnonzero(np.diff(path)) + 1
-        if not len(cuts):
-            return [(self.languages[path[0]], 0, len(text))]
-        starts = np.fromiter((m.start() for m in _RUNS.finditer(text)), np.int64, len(path))
         borders = [0, *starts[cuts].tolist(), len(text)]
         return [(self.languages[path[i]], a, b) for i, a, b in zip([0, *cuts.tolist()], borders, borders[1:])]
 
@@ -151,89 +207,91 @@ class Model:
 def best_path(emitted: np.ndarray, penalty: float) -> np.ndarray:
     """The sequence of columns with the greatest sum, where each change costs ``penalty``.
 
-    Staying in the best single column is optimal if no stretch gains more than the penalty by leaving it, which the largest
-    sum over a stretch shows at once; only other texts need the search.
+    The best path leaves the best single column only for stretches that gain more than the penalty. A word that lies in no
+    stretch whose largest possible gain exceeds it therefore stays in that column, which sums over stretches show at
+    once; the search runs over the rest, from and to that column.
     """
     n, width = emitted.shape
     single = int(emitted.sum(axis=0).argmax())
+    path = np.full(n, single)
     if width == 1:
-        return np.full(n, single)
+        return path
     lead = emitted - emitted[:, [single]]
     lead[:, single] = -np.inf
-    sums = np.cumsum(lead.max(axis=1))
-    floor = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
-    if (sums - floor).max() <= penalty:
-        return np.full(n, single)
+    gain = lead.max(axis=1)
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    up_to = sums[1:] - np.minimum.accumulate(sums[:-1])
+    onward = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+    edges = np.diff(np.concatenate([[False], up_to + onward - gain > penalty, [False]]).astype(np.int8))
+    for first, end in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+        path[first:end] = _searched(emitted[first:end], penalty, single if first else None, single if end < n else None)
+    return path
+
+
+def _searched(emitted: np.ndarray, penalty: float, before: int | None, after: int | None) -> np.ndarray:
+    """The best path over some words, between words whose columns are given (or none)."""
+    n, width = emitted.shape
+    away = np.full(width, -penalty)
     value = emitted[0].copy()
-    came = np.empty((n, width), np.int32)
-    stay = np.arange(width)
+    if before is not None:
+        value += np.where(np.arange(width) == before, 0.0, away)
+    came, stay = np.empty((n, width), np.int64), np.arange(width)
     for i in range(1, n):
         top = int(value.argmax())
         bar = value[top] - penalty
         came[i] = np.where(value >= bar, stay, top)
         value = np.maximum(value, bar) + emitted[i]
-    path = np.empty(n, np.int64)
-    path[-1] = value.argmax()
+    if after is not None:
+        value += np.where(np.arange(width) == after, 0.0, away)
+    found = np.empty(n, np.int64)
+    found[-1] = value.argmax()
     for i in range(n - 1, 0, -1):
-        path[i - 1] = came[i, path[i]]
-    return path
+        found[i - 1] = came[i, found[i]]
+    return found
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from the rows of ``df`` that have a text and a language; leave out a test fold before calling.
 
-    Counts of n-grams are summed by Spark; the driver receives the kept n-grams only. Without labelled rows the model has
-    no language and labels everything ``und``.
+    Tasks count hashed n-grams and Spark adds the counts up; the driver receives a number for each slot and language. Without
+    labelled rows the model has no language and labels everything ``und``.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros(0))
+        return Model([], np.zeros((0, 0)), np.zeros((0, 0), bool), np.zeros(0))
     languages = sorted(sizes)
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, TRAIN_DOCUMENTS / sizes[k]))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     sample = rows.where(draw < rate[F.col("lang")]).select("lang", "text")
+    slots, scripts = 1 << SLOT_BITS, len(SCRIPTS) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        # The counts of the scripts' letters follow those of the slots.
+        found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for word, n in Counter(_RUNS.findall(text.as_py())).items():
-                    found[lang, "script", script_of(word)] += n * len(word)
-                    for gram in grams_of(word):
-                        found[lang, "gram", gram] += n
-        if found:
-            keys = list(zip(*found))
-            yield pa.record_batch(
-                [*[pa.array(k, pa.string()) for k in keys], pa.array(found.values(), pa.int64())],
-                names=["lang", "kind", "what", "n"],
-            )
-
-    counts = sample.mapInArrow(count, "lang string, kind string, what string, n bigint")
-    by_lang = counts.groupBy("kind", "what", "lang").agg(F.sum("n").alias("n"))
-    together = by_lang.groupBy("kind", "what").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("total")
-    )
-    kept = together.orderBy(F.col("kind").desc(), F.col("total").desc(), "what").limit(MAX_GRAMS).collect()
-
-    grams = [r for r in kept if r.kind == "gram"]
-    table = np.array([[r.by_lang.get(k, 0) for k in languages] for r in grams], dtype=np.float64).reshape(-1, len(languages))
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(grams))))
+                mine = found.setdefault(lang, np.zeros(slots + scripts, np.int64))
+                for _, words in pieces_of(text.as_py()):
+                    mine[:slots] += np.bincount(words.slots, minlength=slots)
+                    letters = np.bincount(words.scripts, words.ends - words.starts, scripts)
+                    mine[slots:] += letters.astype(np.int64)
+        for lang, mine in found.items():
+            at = np.flatnonzero(mine)
+            yield pa.record_batch({"lang": pa.array([lang] * len(at)), "at": pa.array(at), "n": pa.array(mine[at])})
+
+    counts = sample.mapInArrow(count, "lang string, at bigint, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    kept = counts.toPandas()
+    table = np.zeros((slots + scripts, len(languages)))
+    table[kept["at"].to_numpy(np.int64), kept["lang"].map(languages.index).to_numpy(np.int64)] = kept["n"].to_numpy(np.float64)
+    grams, letters = table[:slots], table[slots:]
+    logs = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * slots))
     centred = (logs - logs.mean(axis=1, keepdims=True)) * GRAM_WEIGHT
-    letters = Counter()
-    for r in kept:
-        if r.kind == "script":
-            letters.update(r.by_lang)
-    scripts = {
-        r.what: [i for i, k in enumerate(languages) if r.by_lang.get(k, 0) >= SCRIPT_SHARE * max(1, letters[k])]
-        for r in kept
-        if r.kind == "script"
-    }
+    centred[~grams.any(axis=1)] = 0.0
+    allowed = letters >= SCRIPT_SHARE * np.maximum(1, letters.sum(axis=0))
     share = np.array([sizes[k] for k in languages], dtype=np.float64)
-    return Model(
-        languages, {r.what: i for i, r in enumerate(grams)}, centred.astype(np.float32), scripts, share / share.sum()
-    )
+    return Model(languages, centred.astype(np.float32), allowed, share / share.sum())
 
 
 def label_languages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

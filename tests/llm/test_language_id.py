@@ -33,13 +33,31 @@ def test_spans_of_mixed_text(model):
 
 def test_scripts_narrow(model):
     assert model.label("собака лисица")[0] == "ru"
-    assert model.scripts["cyrillic"] == [model.languages.index("ru")]
+    cyrillic = 1 + list(language_id.SCRIPTS).index("cyrillic")
+    assert [k for k, ok in zip(model.languages, model.allowed[cyrillic]) if ok] == ["ru"]
     assert model.label("Zebra")[0] in {"en", "de"}
     # Letters that no language uses: the most frequent language at its share.
     lang, score, _ = model.label("漢字")
     assert lang in model.languages and score < 0.3
 
 
+def test_words_and_grams():
+    text = "Ab, \u0301c\u0301d  ÉX1y \u4e2d"
+    words = language_id.words_of(np.array([ord(c) for c in text]))
+    assert [text[a:b] for a, b in zip(words.starts, words.ends)] == ["Ab", "c\u0301d", "ÉX", "y", "\u4e2d"]
+    # A word of n letters has n + (n + 1) + n + (n - 1) n-grams of one to four characters, a space on either side included.
+    assert np.bincount(words.owners).tolist() == [8, 12, 8, 4, 4]
+    alone = language_id.words_of(np.array([ord(c) for c in "éx"]))
+    assert sorted(words.slots[words.owners == 2]) == sorted(alone.slots)
+
+
+def test_pieces_make_no_difference(model, monkeypatch):
+    text = (EN + DE) * 3
+    whole = model.emissions(text)
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    assert all(np.allclose(a, b) for a, b in zip(whole, model.emissions(text)))
+
+
 def test_best_path_is_the_best():
     draw = np.random.default_rng(1)
     for _ in range(300):
