@@ -28,8 +28,7 @@ DEPTH = 3
 SIMILARITY = 80
 #: Tokens without a digit that a line must have to be dropped; shorter lines recur by chance.
 MIN_WORDS = 3
-#: Up to so many leaves with different lines (8 bytes each, some 60 in Python) are sent to every worker; more are joined by a
-#: shuffle of all lines.
+#: Up to so many leaves with different lines (8 bytes each) are sent to every worker; more are joined by a shuffle of all lines.
 BROADCAST_LEAVES = 500_000
 
 _DIGIT = re.compile(rb"[0-9]")
@@ -58,7 +57,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None =
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = None if leaves is None else set(leaves.value.tolist())
+        asked = None if leaves is None else leaves.value
         for batch in batches:
             texts, at, numbers, paths, hashes, lines, counts = batch.column(2), [], [], [], [], [], []
 
@@ -78,14 +77,14 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None =
                 return pa.record_batch(columns)
 
             for i in range(batch.num_rows):
-                for number, tokens in parsed_lines(texts[i].as_py()):
-                    path = digest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH])))
-                    if asked is not None and _signed(path) not in asked:
-                        continue
+                found = list(parsed_lines(texts[i].as_py()))
+                mine = [digest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH]))) for _, tokens in found]
+                for k in range(len(found)) if asked is None else _among(mine, asked):
+                    number, tokens = found[k]
                     joined = b" ".join(tokens)
                     at.append(i)
                     numbers.append(number)
-                    paths.append(path)
+                    paths.append(mine[k])
                     hashes.append(digest(joined))
                     if whole:
                         lines.append(joined.decode("utf-8", "surrogatepass"))
@@ -100,15 +99,19 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None =
     return docs.mapInArrow(run, schema)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _among(paths: list[int], asked: np.ndarray) -> list[int]:
+    """Positions of the paths that are among the sorted numbers."""
+    mine = np.array(paths, np.uint64).view(np.int64)
+    place = np.searchsorted(asked, mine)
+    place[place == len(asked)] = 0
+    return np.flatnonzero(asked[place] == mine).tolist() if len(asked) else []
 
 
 def _templates(df: DataFrame, id_col: str, text_col: str, open_leaves: DataFrame) -> DataFrame:
     """``leaf``, ``hash`` and ``template`` for each different line of the open leaves that stands for a template."""
     spark = df.sparkSession
     if open_leaves.count() <= BROADCAST_LEAVES:
-        known = np.array([r.leaf for r in open_leaves.collect()], dtype=np.int64)
+        known = np.sort(open_leaves.toPandas()["leaf"].to_numpy(np.int64))
         inside = _lines(df, id_col, text_col, spark.sparkContext.broadcast(known), whole=True)
     else:
         inside = _lines(df, id_col, text_col, whole=True).join(open_leaves, "leaf", "left_semi")
@@ -159,7 +162,8 @@ def drop_recurring_lines(
     * Of the documents that share a template, the one with the smallest id keeps its lines.
     * Null texts stay null. Rows without an id are left alone. Rows that repeat an id with equal text are one document and
       change together.
-    * ``drop_emptied``: documents from which lines were dropped and no word is left go.
+    * ``drop_emptied``: documents from which lines were dropped and no line is left that could be (so, none of
+      ``MIN_WORDS`` words) go.
     * A column of ``df`` named like ``count_col`` is replaced; without ``count_col`` the columns are those of ``df``.
     """
     gone = recurring_lines(df, id_col, text_col).groupBy("id", "version").agg(F.collect_list("line_no").alias("numbers"))
@@ -179,7 +183,7 @@ def drop_recurring_lines(
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
                 new.append(text)
                 counts.append(len(numbers))
-                stay.append(not (drop_emptied and numbers and not text.strip()))
+                stay.append(not (drop_emptied and numbers and next(parsed_lines(text), None) is None))
             columns, names = batch.columns[:-1], batch.schema.names[:-1]
             columns[at] = pa.array(new, texts.type)
             if count_col:

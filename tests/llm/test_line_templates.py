@@ -103,7 +103,8 @@ def test_awkward_rows(awkward):  # noqa: F811
 
 def test_emptied_documents_may_go(documents):  # noqa: F811
     pairs = [(1, "a line of text"), (2, "a line of text"), (3, ""), (4, "a line of text\nand more of it"), (2, "another text for two")]
-    assert [i for i, _ in found(documents(pairs), drop_emptied=True)] == [1, 2, 3, 4]
+    pairs += [(5, "Yes.\na line of text\nNo."), (6, "Yes.\nNo.")]
+    assert [i for i, _ in found(documents(pairs), drop_emptied=True)] == [1, 2, 3, 4, 6]
 
 
 def test_counts(documents):  # noqa: F811

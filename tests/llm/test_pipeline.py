@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyloom.llm import language_id
+from tallyloom.llm.line_templates import parsed_lines
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -35,7 +36,7 @@ def test_run_equals_plain_python(spark):
     labelled = {i: model.label(t) for i, t in rows}
     rows = [(i, t) for i, t in rows if labelled[i][0] != "und" and labelled[i][1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
     before = dict(rows)
-    rows = [(i, t) for i, t in without_recurring_lines(rows) if t.strip() or t == before[i]]
+    rows = [(i, t) for i, t in without_recurring_lines(rows) if t == before[i] or next(parsed_lines(t), None)]
     rows = near_copies_gone(rows)
     items = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not any(s and len(s & shingles(t)) * 100 >= 80 * len(s) for s in items)]
