@@ -72,7 +72,7 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
             "span": cell * 2 + (F.col("tokens") > F.col("half")).cast("int"),
             "reach": F.col("before") + F.least(F.lit(history), F.col("half")),
         }
-    ).select("key", "conv", "k", "role", "text", "tokens", "before", "cell", "span", "reach", "is_system", "n_turns")
+    ).select("key", "conv", "k", "role", "text", "tokens", "before", "half", "cell", "span", "reach", "is_system", "n_turns")
 
 
 def chat_windows(
@@ -114,14 +114,15 @@ def chat_windows(
     lone = system.where("n_turns = 1").select("key", F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("start"))
     spans = spans.unionByName(lone)
 
-    # A turn is repeated in spans that begin within its reach: no more than three can.
-    asked = F.array(*[F.col("cell") * 2 + i for i in (0, 1, 2, 3)])
-    everywhere = body.withColumn("at", F.explode(F.filter(asked, lambda s: s >= F.col("span"))))
-    own = F.col("at") == F.col("span")
-    shown = everywhere.join(spans.withColumnRenamed("span", "at"), ["key", "at"])
-    shown = shown.where(own | (F.col("start") <= F.col("reach"))).withColumn("is_new", own).drop("span").withColumnRenamed("at", "span")
+    # A turn is repeated in later spans that begin within its reach, which a cell that begins beyond it can't hold.
+    later = F.array(*[F.col("cell") * 2 + i for i in (1, 2, 3)])
+    later = F.filter(later, lambda s: (s > F.col("span")) & (F.floor(s / 2) * F.col("half") <= F.col("reach")))
+    again = body.withColumn("at", F.explode(later)).drop("span")
+    again = again.join(spans.withColumnRenamed("span", "at"), ["key", "at"]).where("start <= reach").withColumnRenamed("at", "span")
+    own = body.withColumns({"start": F.col("before"), "is_new": F.lit(True)})
+    again = again.withColumns({"start": F.lit(None).cast("long"), "is_new": F.lit(False)})
     lead = spans.join(system.drop("span"), "key").withColumn("is_new", F.col("start") == 0)
-    turns = shown.select(parts).unionByName(lead.select(parts))
+    turns = own.select(parts).unionByName(again.select(parts)).unionByName(lead.select(parts))
 
     head = F.concat(F.lit("[INST] "), F.when(F.col("is_new"), "new").otherwise("old"), F.lit(" "), escaped(F.col("role")), F.lit(" [/INST]"))
     turns = turns.withColumns({"head": head, "body": escaped(F.col("text"))})
@@ -133,7 +134,7 @@ def chat_windows(
     target = F.struct(F.col("from").alias("start"), (F.col("from") + F.length("body")).alias("end"))
     windows = turns.groupBy("key", "span").agg(
         F.first("conv").alias("conv"),
-        F.first("start").alias("window_start"),
+        F.min("start").alias("window_start"),
         F.sort_array(F.collect_list(F.struct("k", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(F.when(scored, target))).alias("loss"),
         F.sum(F.col("is_new").cast("long")).alias("n_turns"),
