@@ -55,6 +55,17 @@ class _Words(dict):
         return ids
 
 
+def token_names(spec: dict) -> list[str]:
+    """The token of each id, special ones included; empty where there is none."""
+    tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+    return [tokens.get(i, "") for i in range(max(tokens) + 1)]
+
+
+def decoded(ids: bytes | None, names: list[str]) -> str:
+    """The tokens of packed ids, with a space between; word ends stay visible, as this vocabulary has no decoder."""
+    return " ".join(map(names.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
 class Codec:
     """Encoder and decoder for a vocabulary file with end-of-word symbols, given as its JSON text."""
 
@@ -75,7 +86,6 @@ class Codec:
             self.parts.setdefault(whole, (vocab[left], vocab[right]))
             self.rank.setdefault(whole, rank)
             self.merged[vocab[left], vocab[right]] = (rank, whole)
-        self.tokens = {i: t for t, i in vocab.items()}
         self.automaton = ahocorasick.Automaton()
         for name, symbols in spelled.items():
             self.automaton.add_word(symbols, (vocab[name], len(symbols)))
@@ -83,11 +93,10 @@ class Codec:
         self.pairs: dict[tuple[int, int], bool] = {}
 
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern, regex.V1).findall
-        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.names = token_names(spec)
         self.words = _Words(self)
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -159,8 +168,7 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:
-        """The tokens of packed ids, with a space between; word ends stay visible, as this vocabulary has no decoder."""
-        return " ".join(map(self.names.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+        return decoded(ids, self.names)
 
 
 def _folded(text: str) -> str:
@@ -175,6 +183,11 @@ def _codec(text: str) -> Codec:
     return Codec(text)
 
 
+@lru_cache(maxsize=2)
+def _names(text: str) -> list[str]:
+    return token_names(json.loads(text))
+
+
 def _in_slices(columns: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for row in columns:
@@ -210,10 +223,11 @@ def decode_documents(df: DataFrame, vocabulary: str | Path) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        # Names are enough to decode: no automaton, no pairs.
+        names = _names(shared.value)
         for batch in batches:
             keys, packed = batch.column(0), batch.column(1)
-            found = ((keys[i].as_py(), ids := packed[i].as_py(), codec.decode(ids)) for i in range(len(keys)))
+            found = ((keys[i].as_py(), ids := packed[i].as_py(), decoded(ids, names)) for i in range(len(keys)))
             yield from _in_slices(found, ["id", "ids", "decoded"], [keys.type, pa.binary(), pa.string()])
 
     kind = df.schema["id"].dataType.simpleString()
