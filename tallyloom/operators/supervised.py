@@ -20,11 +20,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import display_name, is_numeric
-from tallyloom.functions.exprs import contains_any, is_missing, literal, ratio, titled
+from tallyloom.functions.exprs import as_number, contains_any, is_missing, literal, ratio, titled
 from tallyloom.functions.parallel import side_by_side
 from tallyloom.operators.prep import impute_median, impute_mode, stratified_split, zscale
 from tallyloom.operators.profile import NUMERIC_TYPES
-from tallyloom.operators.stats import feature_target_corr
+from tallyloom.operators.stats import binned_relationship, feature_target_corr
 from tallyloom.session import materialise
 
 # Names that suggest a prediction target, best first.
@@ -442,6 +442,19 @@ def feature_importance(
     return Importance(_describe(listed, correlations, target), target, task, score)
 
 
+def driver_relationships(df: DataFrame, drivers: Importance, top_k: int = 3) -> DataFrame | None:
+    """(feature, bin, feature_avg, target_avg, rows, low, high): how the target runs along
+    the main drivers. Only numbers are binned; a text target reads as numbers where it can.
+    None if no main driver is a number."""
+    target = df.withColumn("_goal", as_number(df, drivers.target))
+    main = drivers.features.where(F.col("rank") <= top_k).orderBy("rank").select("name").collect()
+    found = None
+    for name in (r["name"] for r in main if is_numeric(df.schema[r["name"]].dataType)):
+        binned = binned_relationship(target, name, "_goal").where("bin IS NOT NULL").withColumn("feature", F.lit(name))
+        found = binned if found is None else found.unionByName(binned)
+    return found
+
+
 def _describe(listed: DataFrame, correlations: DataFrame, target: str) -> DataFrame:
     """Direction, impact tier, sentence and rank; one row per feature."""
     r, share = F.col("correlation"), F.col("importance")

@@ -133,6 +133,9 @@ def run_full_analysis(
         drivers = supervised.feature_importance(df, key, goal, features, distinct, trees=trees)
         store(drivers.features, "importance")
         store(supervised.driver_report(drivers.features), "drivers")
+        relations = supervised.driver_relationships(df, drivers)
+        if relations is not None:
+            store(relations, "driver_relationships")
         return f"{best.best_model} for {goal}"
 
     def charts() -> str:

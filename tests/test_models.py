@@ -237,6 +237,11 @@ def test_importance_and_drivers(labelled):
     assert got["x"]["rank"] == 1 and got["x"]["impact_level"] == "critical" and got["x"]["direction"] == "positive"
     assert sum(r["importance"] for r in got.values()) == pytest.approx(1.0)
     assert got["x"]["summary_insight"].startswith("Increases in 'X' strongly correlate with higher Size (+")
+    along = rows(supervised.driver_relationships(labelled, found), "feature", "bin")
+    assert {r["feature"] for r in along} == {"x", "noise"}
+    averages_of_x = [r["target_avg"] for r in along if r["feature"] == "x"]
+    assert len(averages_of_x) == 6 and averages_of_x == sorted(averages_of_x)
+    assert {r["feature"] for r in rows(supervised.driver_relationships(labelled, found, top_k=1))} == {"x"}
     report = rows(supervised.driver_report(found.features), "place")
     assert report[0]["title"] == "Focus Strategy on Primary Lever: X"
     assert report[-1]["action"].startswith("Group records along dimensions 'x' and '")
