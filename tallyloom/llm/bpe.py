@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words and token pairs that a worker remembers; when full, it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 500_000, 1_000_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 300_000
 #: Longer words are encoded each time they occur.
 LONG_WORD = 200
 #: Rows that leave Python at a time.
