@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_windows, decontaminate, exact_dedup, language_id, line_templates, main_text, quality, simhash, url_filter
+from tallyloom.llm import bpe, chat_windows, decontaminate, exact_dedup, language_id, line_templates, main_text, merkle, quality, simhash, url_filter, warc, whitening
+from tallyloom.session import scratch_path
 from tallyloom.workload.inputs import table
 
 Q: dict = {}
@@ -294,3 +295,150 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query(
+    "op11_merkle",
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(c ORDER BY b) AS t
+        FROM (SELECT b, list_reduce(list_concat([b], range(8)),
+                                    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+              FROM range(256) AS r(b))
+    ), crcs AS (
+        SELECT doc_id, xor(4294967295, list_reduce(
+                   list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda c, a: xor(c >> 8, t[(xor(c, a) & 255) + 1]))) AS crc
+        FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN crc_table
+    ), own AS (
+        SELECT doc_id, source, text,
+               coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+               coalesce(strlen(text) || ':' || text, '-') AS body,
+               coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS bare
+        FROM documents
+    ), leaves AS (
+        SELECT o.doc_id, source, sha256(head || body) AS leaf,
+               CASE WHEN crc % 2 = 0 THEN sha256(head || bare) ELSE sha256(head || body) END AS seen
+        FROM own o LEFT JOIN crcs c ON o.doc_id = c.doc_id
+    ), placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+               count(*) OVER (PARTITION BY source) AS n
+        FROM leaves
+    ), up AS (
+        SELECT tree, 0 AS lvl, idx, n, leaf AS d FROM placed
+        UNION ALL
+        SELECT tree, lvl + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY idx))
+        FROM up WHERE n > 1 GROUP BY tree, lvl, idx // 3
+    ), subroots AS (
+        SELECT tree, d AS subroot FROM up WHERE n = 1
+    ), top AS (
+        SELECT 1000 AS lvl, tree AS idx, (SELECT count(*) FROM subroots) AS n, subroot AS d FROM subroots
+        UNION ALL
+        SELECT lvl + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY idx))
+        FROM top WHERE n > 1 GROUP BY lvl, idx // 3
+    ), nodes AS (
+        SELECT * FROM up WHERE n > 1 UNION ALL SELECT -1, * FROM top WHERE n > 1
+    ), steps AS (
+        SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+               coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+        FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3
+        GROUP BY ALL
+    ), paths AS (
+        SELECT p.tree, p.idx, list({'l': l, 'r': r, 'd': ''} ORDER BY lvl) AS path
+        FROM placed p JOIN steps s
+          ON (s.tree = p.tree AND s.idx = p.idx // (3 ** lvl)::BIGINT) OR (s.tree = -1 AND s.idx = p.tree // (3 ** (lvl - 1000))::BIGINT)
+        GROUP BY ALL
+    ), folded AS (
+        SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root,
+               sha256(coalesce(array_to_string(list_transform(path, lambda s: s.l || s.r), ''), '')) AS proof_sha256,
+               list_reduce(list_concat([{'l': '', 'r': '', 'd': seen}], coalesce(path, [])),
+                           lambda a, s: {'l': '', 'r': '', 'd': sha256(s.l || a.d || s.r)}).d AS folded_root
+        FROM placed JOIN subroots USING (tree) LEFT JOIN paths USING (tree, idx)
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """A leaf, a proof and a check for every document; half of the ids are checked with line feeds deleted from the text."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    documents = table(spark, sf, "documents")
+    bare = F.replace("text", F.lit("\n"), F.lit(""))
+    changed = merkle.leaf_of([F.col(c) if c != "text" else bare for c in columns])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, changed)
+    tree = merkle.manifest(documents, "doc_id", "source", columns, carry={"tampered": tampered})
+    found = tree.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable embedding on its leading components, whitened."""
+    grid = whitening.on_grid(table(spark, sf, "embeddings"))
+    model = whitening.fit(grid)
+    schema = (
+        "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+    )
+    if model is None or not model.eigenvalues:
+        return spark.createDataFrame([], schema)
+    white = whitening.whiten(grid, model)
+    error = whitening.identity_error(white, model.n)
+    n, sums = F.lit(model.n).cast("bigint"), F.array(*[F.lit(s).cast("bigint") for s in model.sums])
+    gaps = F.zip_with("x", sums, lambda x, s: (n * x - s) * (n * x - s))
+    explained = F.array(*[F.lit(e / model.trace) for e in model.eigenvalues])
+    rows = grid.join(white, "at").select(
+        F.col("id").alias("vec_id"),
+        F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g).alias("deviation"),
+        F.posexplode("w").alias("k", "whitened"),
+    )
+    return rows.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        n.alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("k")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+@query(
+    "op13_warc",
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+               row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS FIRST) AS k,
+               first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, url NULLS FIRST) AS lead
+        FROM pages
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND k > 1 THEN lead END AS refers_to,
+           true AS intact
+    FROM p
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page, written to an archive and read back from it."""
+    pages = table(spark, sf, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write_archive(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archive(spark, path).select(
+        F.col("id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+        "intact",
+    )
