@@ -133,13 +133,6 @@ def exact_quantiles(
     )
 
 
-def quantiles_of(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles of numeric columns: (column_name, probability, quantile, n)."""
-    return exact_quantiles(long_counts(df, columns), ["column_name"], "value", probabilities)
-
-
 def long_counts(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Value-count table (extra..., column_name, value, rows) of numeric columns, without NaN."""
     long = df.select(*extra, *[known(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(

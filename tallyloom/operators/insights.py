@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.brackets import quantiles_of
 from tallyloom.functions.exprs import literal, percent_text, ratio, total
-from tallyloom.functions.ranking import exact_quantiles, global_rank, value_counts
+from tallyloom.functions.ranking import global_rank
 from tallyloom.operators.dashboard import monthly_gapfilled, value_shares
 from tallyloom.operators.profile import NUMERIC_TYPES
 from tallyloom.operators.rfm import AT_RISK, VIP
@@ -71,8 +72,7 @@ def country_concentration(orders: DataFrame) -> DataFrame:
 
 def aov_skew(orders: DataFrame) -> DataFrame:
     """Mean and exact median of the order-line value, and whether the mean is far above."""
-    amounts = orders.select(F.col("total_price").cast("double").alias("v"))
-    median = exact_quantiles(value_counts(amounts, [], "v"), [], "v", [0.5]).select("quantile").scalar()
+    median = quantiles_of(orders, ["total_price"], [0.5]).select("quantile").scalar()
     sums = orders.agg((F.sum("total_price").cast("double") / F.count("total_price")).alias("aov"))
     return sums.withColumn("median_order", median).withColumn("skewed", F.col("aov") > F.col("median_order") * 1.5)
 

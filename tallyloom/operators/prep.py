@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.brackets import quantiles_of
 from tallyloom.functions.exprs import known, one_row, quoted
-from tallyloom.functions.ranking import global_rank, quantiles_of, value_counts
+from tallyloom.functions.ranking import global_rank, value_counts
+from tallyloom.session import materialise
 
 
 def _lookup(long: DataFrame, value: str) -> Column:
@@ -18,8 +20,9 @@ def _lookup(long: DataFrame, value: str) -> Column:
 
 def impute_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Nulls and NaN replaced by the column's exact median (the mean of the middle two), taken
-    from ``fit_on`` where given."""
-    medians = _lookup(quantiles_of(df if fit_on is None else fit_on, columns, [0.5]), "quantile")
+    from ``fit_on`` where given. The columns are stored once, as brackets read them several times."""
+    source = materialise((df if fit_on is None else fit_on).select(*columns), "medians")
+    medians = _lookup(quantiles_of(source, columns, [0.5]), "quantile")
     return df.withColumns(
         {c: F.coalesce(known(F.col(c).cast("double")), F.try_element_at(medians, F.lit(c))) for c in columns}
     )

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.brackets import quantiles_of
 from tallyloom.functions.columns import is_numeric, numeric_columns, text_columns
-from tallyloom.functions.exprs import is_missing, known, known_sql, literal, quoted
-from tallyloom.functions.ranking import exact_quantiles, global_rank, rows_below, value_counts
+from tallyloom.functions.exprs import is_missing, known, literal
+from tallyloom.functions.ranking import global_rank, running_counts, value_counts
 from tallyloom.functions.tails import chi2_pvalue, f_pvalue, t_pvalue
+from tallyloom.operators import gram
+from tallyloom.session import materialise
 
 ALPHA = 0.05
 LEAST_GROUP = 5
@@ -20,35 +22,33 @@ LEAST_GROUP = 5
 # --- correlations ----------------------------------------------------------
 
 
-def corr_sql(x: str, y: str) -> str:
-    """Pearson's r over the rows where both are known, NaN counting as unknown; null if
-    either is constant. (``corr`` raises on constant input in ANSI mode.)"""
-    x, y = known_sql(x), known_sql(y)
-    spread_x = f"stddev_pop(CASE WHEN {y} IS NOT NULL THEN {x} END)"
-    spread_y = f"stddev_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)"
-    return f"try_divide(covar_pop({x}, {y}), {spread_x} * {spread_y})"
+def rank_vectors(df: DataFrame) -> DataFrame:
+    """``v`` (array of double) with every entry replaced by its 1-based rank at that place, ties sharing the mean rank.
+
+    Rows with a null or NaN go. All places are ranked in one table and looked up in one join by (place, value); the ranks of a
+    row come back together by one grouping.
+    """
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    stored = materialise(df.where(whole).select(F.monotonically_increasing_id().alias("row"), "v"), "rank-rows")
+    long = stored.select("row", F.posexplode("v").alias("place", "value"))
+    ranks = running_counts(value_counts(long, ["place"], "value"), ["place"], "value")
+    ranks = ranks.select("place", "value", (F.col("below") + (F.col("rows") + 1) / 2).alias("rank"))
+    ranked = long.join(ranks, ["place", "value"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "rank"))).alias("r"))
+    return ranked.select(F.transform("r", lambda x: x["rank"]).alias("v"))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns replaced by their 1-based ranks, ties sharing the mean rank."""
-    placed = rows_below(df, columns)
-    return placed.select(*[(F.col(f"{c}_below") + (F.col(f"{c}_ties") + 1) / 2).alias(c) for c in columns])
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>").alias("v"))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """(var1, var2, i, j, correlation, rows) for each pair i < j of numeric columns,
-    over rows without nulls or NaN. All pairs share one aggregate, however many columns there are."""
+    over rows without nulls or NaN; null if either is constant. One scan, however many columns there are."""
     columns = list(columns or numeric_columns(df))
-    full = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    if method == "spearman":
-        full = average_ranks(full, columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    sums = ["count(*) AS rows"]
-    sums += [f"{corr_sql(quoted(columns[i]), quoted(columns[j]))} AS r_{i}_{j}" for i, j in pairs]
+    rows = _vectors(df, columns)
+    found = gram.correlations(rank_vectors(rows) if method == "spearman" else rows, len(columns))
     names = F.array(*[F.lit(c) for c in columns])
-    records = ", ".join(f"struct({i} AS i, {j} AS j, r_{i}_{j} AS correlation, rows)" for i, j in pairs)
-    long = full.selectExpr(*sums).selectExpr(f"inline(array({records}))")
-    return long.select(
+    return found.select(
         F.get(names, F.col("i")).alias("var1"), F.get(names, F.col("j")).alias("var2"), "i", "j", "correlation", "rows"
     )
 
@@ -310,16 +310,16 @@ def with_codes(df: DataFrame, column: str, row_key: str) -> DataFrame:
 
 def feature_target_corr(df: DataFrame, target: str, features: Sequence[str], row_key: str) -> DataFrame:
     """(feature, correlation): Pearson with the target, categories by their codes,
-    undefined values 0. One aggregate covers all features."""
+    undefined values 0. One scan covers all features."""
     coded = df.where(~is_missing(df, target))
     for name in [target, *features]:
         if not is_numeric(df.schema[name].dataType):
             coded = with_codes(coded, name, row_key)
-    sums = [f"{corr_sql(quoted(f), quoted(target))} AS r{i}" for i, f in enumerate(features)]
+    rows = gram.against_first(_vectors(coded, [target, *features]), len(features) + 1)
     names = F.array(*[F.lit(f) for f in features])
-    records = ", ".join(f"struct({i} AS i, r{i} AS r)" for i in range(len(features)))
-    long = coded.selectExpr(*sums).selectExpr(f"inline(array({records}))")
-    return long.select(F.get(names, F.col("i")).alias("feature"), F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("correlation"))
+    return rows.select(
+        F.get(names, F.col("i") - 1).alias("feature"), F.coalesce(F.nanvl("correlation", F.lit(0.0)), F.lit(0.0)).alias("correlation")
+    )
 
 
 def binned_relationship(df: DataFrame, feature: str, target: str, max_bins: int = 6) -> DataFrame:
@@ -329,8 +329,7 @@ def binned_relationship(df: DataFrame, feature: str, target: str, max_bins: int
         F.col(feature).cast("double").alias("x"), F.col(target).cast("double").alias("y")
     ).dropna()
     bins = rows.select("x").distinct().limit(max_bins).count()
-    counts = value_counts(rows, [], "x")
-    cuts = exact_quantiles(counts, [], "x", [i / bins for i in range(bins + 1)] if bins else [0.0])
+    cuts = quantiles_of(rows, ["x"], [i / bins for i in range(bins + 1)] if bins else [0.0])
     edges = cuts.agg(F.array_sort(F.collect_set("quantile")).alias("edges")).scalar()
     bin_number = F.lit(0)
     for i in range(1, max_bins):  # the last edge closes the last bin

@@ -69,12 +69,6 @@ def test_exact_quantiles(spark, seed):
         assert got[p] == pytest.approx(np.quantile(data["v"], p))
 
 
-def test_quantiles_of_one_row_and_of_nulls(spark):
-    df = spark.createDataFrame([(4.0, None), (None, None)], "a double, b double")
-    got = [(r.column_name, r.quantile, r.n) for r in ranking.quantiles_of(df, ["a", "b"], [0.5]).collect()]
-    assert got == [("a", 4.0, 1)]
-
-
 @pytest.mark.parametrize("n", [5, 6, 11, 23, 100])
 def test_quintile_by_rank_matches_qcut(spark, n):
     got = spark.range(1, n + 1).select("id", ranking.quintile_by_rank(F.col("id"), F.lit(n)).alias("q")).toPandas()

@@ -165,3 +165,60 @@ def test_groups_without_variation(spark):
     (t,) = rows(stats.welch_ttest(df, "g", "v"))
     (f,) = rows(stats.anova_oneway(df, "h", "v"))
     assert t["statistic"] is None and f["statistic"] is None
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_wide_correlations_equal_numpy(spark, method, monkeypatch):
+    """More columns than a tile, offsets far from zero, a constant column, gaps."""
+    from tallyloom.operators import gram
+
+    monkeypatch.setattr(gram, "TILE", 7)
+    draw = np.random.default_rng(3)
+    n, d = 400, 30
+    x = draw.normal(size=(n, d)) @ draw.normal(size=(d, d)) + 1e8
+    x[:, 3] = 0.1
+    x[:, 4] = np.round(x[:, 4] - 1e8)
+    x[5, 6] = np.nan
+    names = [f"c{i}" for i in range(d)]
+    rows = [[None if (i == 9 and j == 2) else float(x[i, j]) for j in range(d)] for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(7)
+    whole = pd.DataFrame(np.delete(x, [5, 9], axis=0), columns=names)
+    expected = whole.corr(method)
+    got = stats.correlation_pairs(df, names, method).collect()
+    assert len(got) == d * (d - 1) // 2
+    for r in got:
+        assert r.rows == n - 2 and r.i < r.j
+        if "c3" in (r.var1, r.var2):
+            assert r.correlation is None
+        else:
+            assert r.correlation == pytest.approx(expected.loc[r.var1, r.var2], abs=1e-6 if method == "pearson" else 1e-12)
+
+
+def test_five_hundred_columns_take_one_scan(spark):
+    names = [f"c{i}" for i in range(500)]
+    df = spark.range(300).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(500)])
+    pairs = stats.correlation_pairs(df, names)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Range (0, 300") == 1
+    x = df.toPandas().to_numpy()
+    expected = np.corrcoef(x.T)
+    got = pairs.toPandas()
+    assert len(got) == 500 * 499 // 2
+    assert np.abs(expected[got["i"], got["j"]] - got["correlation"]).max() < 1e-9
+
+
+def test_pairs_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    assert [(r.correlation, r.rows) for r in stats.correlation_pairs(df).collect()] == [(None, 0)]
+
+
+def test_targets_use_pairwise_known_rows(spark):
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame(draw.normal(size=(300, 4)) + 1e7, columns=list("abct"))
+    frame["c"] = 0.3
+    for column, every in (("a", 3), ("b", 5), ("t", 7)):
+        frame.loc[::every, column] = np.nan
+    frame.insert(0, "k", range(300))
+    df = spark.createDataFrame(frame).repartition(4)
+    got = {r.feature: r.correlation for r in stats.feature_target_corr(df, "t", ["a", "b", "c"], "k").collect()}
+    expected = frame.corr()["t"]
+    assert got == {"a": pytest.approx(expected["a"], abs=1e-9), "b": pytest.approx(expected["b"], abs=1e-9), "c": 0.0}
