@@ -396,11 +396,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     n, sums = F.lit(model.n).cast("bigint"), F.array(*[F.lit(s).cast("bigint") for s in model.sums])
     gaps = F.zip_with("x", sums, lambda x, s: (n * x - s) * (n * x - s))
     explained = F.array(*[F.lit(e / model.trace) for e in model.eigenvalues])
-    rows = grid.join(white, "at").select(
-        F.col("id").alias("vec_id"),
-        F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g).alias("deviation"),
-        F.posexplode("w").alias("k", "whitened"),
-    )
+    # Once a vector, before there is a row a component.
+    deviation = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g)
+    rows = grid.select("at", F.col("id").alias("vec_id"), deviation.alias("deviation")).join(white, "at")
+    rows = rows.select("vec_id", "deviation", F.posexplode("w").alias("k", "whitened"))
     return rows.select(
         "vec_id",
         (F.col("k") + 1).alias("component"),
