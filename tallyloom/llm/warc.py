@@ -253,6 +253,10 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     first, last = F.col("pos"), F.least("next", "total") - 1
     cells = F.explode(F.sequence(F.floor(first / CELL), F.floor(last / CELL)))
     cut = chain.where(F.col("span") > F.col("size")).select("no", F.col("pos").alias("head_pos"), "next", cells.alias("cell"))
+    # Stored, so that its size is known when the join is planned: few such records need no shuffle of the bytes, none no scan.
+    cut = materialise(cut, "warc-cut")
+    if cut.isEmpty():
+        return whole
     bytes_of = _located(lines).join(splits, ["file", "start"]).withColumn("pos", F.col("base") + F.col("at"))
     bytes_of = bytes_of.withColumn("cell", F.floor(F.col("pos") / CELL)).select("no", "cell", "file", "pos", "content")
     parts = bytes_of.join(cut, ["no", "cell"]).where((F.col("pos") >= F.col("head_pos")) & (F.col("pos") < F.col("next")))
