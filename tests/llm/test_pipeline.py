@@ -11,7 +11,8 @@ from llm_fixtures import components_of
 from pyspark.sql import functions as F
 from test_decontaminate import shingles
 from test_line_templates import expected as without_recurring_lines
-from test_simhash import close, plain_fingerprint
+from test_near_copies import alike
+from test_near_copies import shingles as five_words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -23,22 +24,42 @@ SF = "/root/testdata/sf0.001"
 
 
 def near_copies_gone(pairs):
-    prints = {i: plain_fingerprint(t) for i, t in pairs}
-    links = [(a, b) for a in prints for b in prints if a < b and close(prints[a], prints[b])]
-    root = components_of(prints, links)
+    sets = {i: five_words(t) for i, t in pairs}
+    links = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    root = components_of(sets, links)
     return [(i, t) for i, t in pairs if root[i] == i]
 
 
-def test_run_equals_plain_python(spark):
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """The smallest tables and copies of documents with a word changed here and there, from one to many."""
+    folder = str(tmp_path_factory.mktemp("copies"))
     documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows, made = documents.collect(), []
+    for k, r in enumerate(sorted(rows, key=lambda r: r.doc_id)[:40]):
+        words = (r.text or "").split(" ")
+        for n in (1, 2, 4, 8):
+            changed = list(words)
+            for at in range(0, len(words), max(len(words) // n, 1)):
+                changed[at] = f"other{k}"
+            made.append((10_000_000 + 10 * k + n, " ".join(changed), r.lang, r.source, r.n_chars))
+    spark.createDataFrame([tuple(r) for r in rows] + made, documents.schema).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_run_equals_plain_python(spark, folder):
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     model = language_id.train(documents.where(~language_id.held_out(F.col("doc_id"))))
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     labelled = {i: model.label(t) for i, t in rows}
     rows = [(i, t) for i, t in rows if labelled[i][0] != "und" and labelled[i][1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
     before = dict(rows)
     rows = [(i, t) for i, t in without_recurring_lines(rows) if t == before[i] or next(parsed_lines(t), None)]
+    n_before = len(rows)
     rows = near_copies_gone(rows)
-    items = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert n_before - len(rows) >= 10
+    items = [shingles(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not any(s and len(s & shingles(t)) * 100 >= 80 * len(s) for s in items)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
     tokenizer.no_truncation()
@@ -46,7 +67,7 @@ def test_run_equals_plain_python(spark):
     for i, t in rows:
         ids = tokenizer.encode(t, add_special_tokens=False).ids
         want[i] = (len(ids), struct.pack(f"<{len(ids)}I", *ids))
-    got = {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()}
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()}
     assert got == want
 
 
