@@ -93,6 +93,16 @@ def running_counts(counts: DataFrame, group: Sequence[str], value: str, rows: st
     )
 
 
+def running_sums(df: DataFrame, order: str, amounts: Sequence[str]) -> DataFrame:
+    """Add ``<amount>_upto``: the sum of each amount over all rows up to this one. ``order`` must differ from row to row."""
+    stored = _spread(df, [order], "running-sums")
+    spans = stored.groupBy("_part").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
+    spans = spans.select("_part", *[_before([], f"_{a}").alias(f"_{a}") for a in amounts])
+    inside = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = stored.withColumns({f"{a}_upto": F.sum(a).over(inside) for a in amounts}).join(F.broadcast(spans), "_part")
+    return inner.withColumns({f"{a}_upto": F.col(f"{a}_upto") + F.col(f"_{a}") for a in amounts}).drop("_part", "_place", *[f"_{a}" for a in amounts])
+
+
 def exact_quantiles(
     counts: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], rows: str = "rows"
 ) -> DataFrame:
