@@ -37,8 +37,8 @@ BITS = SEGMENTS * golay.LENGTH
 MOST_BITS = 54
 #: Nodes up to which a bucket is joined with itself, and leaders of a larger one.
 PAIR_BUCKET, LEADERS = 16, 4
-#: Hashes that are permuted at a time.
-BLOCK = 1 << 11
+#: Hashes that are permuted at a time, and documents that are worked on and leave Python at a time.
+BLOCK, DOCUMENTS_OUT = 1 << 10, 256
 
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BITS, 1), dtype=np.uint64)
 _FLIP, _FACTOR = _MIX[0], _MIX[1] | np.uint64(1)
@@ -93,8 +93,8 @@ def _prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, DOCUMENTS_OUT):
+                batch = whole.slice(at, DOCUMENTS_OUT)
                 texts, nodes, least, empty = batch.column(2), [], [], []
                 for i in range(len(texts)):
                     hashes = shingle_set(texts[i].as_py())
@@ -109,6 +109,7 @@ def _prints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     "keys": pa.array([k[:0] if none else k for k, none in zip(keys, empty)], pa.list_(pa.int64())),
                 }
                 yield pa.record_batch(columns | {w: pa.array(prints[:, k]) for k, w in enumerate(_WORDS)})
+        pa.default_memory_pool().release_unused()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
@@ -122,9 +123,12 @@ def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataF
     rows = rows.join(wanted, rows.doc.eqNullSafe(wanted.id) & (rows.of == wanted.version)).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
-            yield pa.record_batch({"node": batch.column(0), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS_OUT):
+                batch = whole.slice(at, DOCUMENTS_OUT)
+                sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
+                yield pa.record_batch({"node": batch.column(0), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
@@ -133,20 +137,11 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` whose shingle sets reach ``SIMILARITY``."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    x, y, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
     # Sets too unequal in size can't reach it.
-    fits = F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * SIMILARITY
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, stay = batch.column(2), batch.column(3), []
-            for i in range(batch.num_rows):
-                one, two = (np.asarray(s[i].values.to_numpy(zero_copy_only=False)) for s in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                stay.append(both * 100 >= (len(one) + len(two) - both) * SIMILARITY)
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(stay, pa.bool_()))
-
-    found = pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y")
-    return found.mapInArrow(run, "a bigint, b bigint")
+    fits = F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
+    alike = both.cast("bigint") * 100 >= (x + y - both).cast("bigint") * SIMILARITY
+    return pairs.join(left, "a").join(right, "b").where(fits).where(alike).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
