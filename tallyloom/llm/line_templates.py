@@ -1,9 +1,13 @@
 """Line deduplication by a tree of log templates.
 
 A line's path in the tree has a fixed depth: its number of tokens, then its leading tokens, where a token with a digit is a
-variable. In a leaf, a token that no other document has at its position is a variable field as well. A line whose tokens are
-constant in ``SIMILARITY`` per cent of its positions or more stands for its template, any other for itself. A template that
-occurs in several documents stays in the one with the smallest id and is dropped from the others.
+variable. In a leaf, a token is a variable field where the rest of the line also stands with other values at its place, and where
+no other line has it at its place. How often a line is repeated says nothing of its fields, so only different lines count. A line
+whose tokens are constant in ``SIMILARITY`` per cent of its positions or more stands for its template, any other for itself. A
+template that occurs in several documents stays in the one with the smallest id and is dropped from the others.
+
+Long lines of few words, as in scripts without spaces, are cut into characters. Shorter lines, and lines of numbers, are compared
+as they are and have no fields.
 
 Everything is aggregated by hashes of lines; only lines in leaves that hold different lines are cut into tokens.
 """
@@ -26,8 +30,8 @@ from tallyloom.session import materialise
 DEPTH = 3
 #: Percentage of a template's positions that must be constant.
 SIMILARITY = 80
-#: Tokens without a digit that a line must have to be dropped; shorter lines recur by chance.
-MIN_WORDS = 3
+#: Tokens without a digit that a line must have to be parsed by tokens, and characters to be parsed by characters.
+MIN_WORDS, MIN_CHARACTERS = 3, 20
 #: Up to so many leaves with different lines (8 bytes each) are sent to every worker; more are joined by a shuffle of all lines.
 BROADCAST_LEAVES = 500_000
 
@@ -37,20 +41,31 @@ _VARIABLE = b"<*>"
 LINES_OUT = 20_000
 
 
-def parsed_lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Number (from 0) and tokens of each line that may be dropped; a token with a digit is ``<*>``."""
+def parsed_lines(text: str) -> Iterator[tuple[int, bytes, list[bytes]]]:
+    """Number (from 0), kind and tokens of each line that isn't blank.
+
+    Kind ``w``: tokens, those with a digit as ``<*>``. Kind ``c``: characters, digits as ``<*>``. Kind ``s``: the line as one token,
+    white space collapsed.
+    """
     for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        tokens = line.split()
-        if len(tokens) < MIN_WORDS:
+        words = line.split()
+        if not words:
             continue
-        if _DIGIT.search(line):
-            tokens = [_VARIABLE if _DIGIT.search(t) else t for t in tokens]
+        tokens = [_VARIABLE if _DIGIT.search(t) else t for t in words] if _DIGIT.search(line) else words
         if len(tokens) - tokens.count(_VARIABLE) >= MIN_WORDS:
-            yield number, tokens
+            yield number, b"w", tokens
+            continue
+        whole = b"".join(words)
+        if len(whole) >= MIN_CHARACTERS:
+            characters = [_VARIABLE if "0" <= x <= "9" else x.encode("utf-8", "surrogatepass") for x in whole.decode("utf-8", "surrogatepass")]
+            if len(characters) - characters.count(_VARIABLE) >= MIN_CHARACTERS:
+                yield number, b"c", characters
+                continue
+        yield number, b"s", [b" ".join(words)]
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None = None, whole: bool = False) -> DataFrame:
-    """Each line that may be dropped: ``id``, ``version`` (hash of the text), ``line_no``, ``leaf``, ``hash`` and, for ``whole``
+    """Each line that isn't blank: ``id``, ``version`` (hash of the text), ``line_no``, ``leaf``, ``hash`` and, for ``whole``
     lines, ``line`` and ``tokens``. Only lines in ``leaves`` (sorted numbers), if given."""
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
@@ -78,9 +93,9 @@ def _lines(df: DataFrame, id_col: str, text_col: str, leaves: Broadcast | None =
 
             for i in range(batch.num_rows):
                 found = list(parsed_lines(texts[i].as_py()))
-                mine = [digest(b"%d %b" % (len(tokens), b" ".join(tokens[:DEPTH]))) for _, tokens in found]
+                mine = [digest(b"%b %d %b" % (kind, len(tokens), b" ".join(tokens[:DEPTH]))) for _, kind, tokens in found]
                 for k in range(len(found)) if asked is None else _among(mine, asked):
-                    number, tokens = found[k]
+                    number, _, tokens = found[k]
                     joined = b" ".join(tokens)
                     at.append(i)
                     numbers.append(number)
@@ -117,14 +132,22 @@ def _templates(df: DataFrame, id_col: str, text_col: str, open_leaves: DataFrame
         inside = _lines(df, id_col, text_col, whole=True).join(open_leaves, "leaf", "left_semi")
     different = inside.groupBy("leaf", "hash", "line", "tokens").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     different = materialise(different, "template-lines")
-    cells = different.select(
-        "leaf", "hash", "tokens", "low", "high", F.posexplode(F.split("line", " ")).alias("position", "token")
-    ).where(F.col("position") >= DEPTH)
-    fields = cells.groupBy("leaf", "position", "token").agg(F.min("low").alias("least"), F.max("high").alias("most"))
-    fields = fields.where("least <> most").drop("least", "most")
-    constant = cells.join(fields, ["leaf", "position", "token"])
+    token_of = F.split("line", " ")
+    own = F.xxhash64("position", "token")
+    cells = different.select("leaf", "hash", "tokens", "low", "high", F.posexplode(token_of).alias("position", "token"))
+    # The line without this token: all tokens combined, and this one taken out again.
+    line = F.aggregate(
+        F.transform(token_of, lambda t, i: F.xxhash64(i, t)), F.lit(0).cast("bigint"), lambda s, h: s.bitwiseXOR(h)
+    )
+    lines = different.select("leaf", "hash", line.alias("all"))
+    cells = cells.where(F.col("position") >= DEPTH).join(lines, ["leaf", "hash"]).withColumn("rest", F.col("all").bitwiseXOR(own)).drop("all")
+    cells = materialise(cells, "template-cells")
+    several = [F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most")]
+    shared = cells.groupBy("leaf", "position", "token").agg(*several).where("n > 1 AND least <> most").drop("n", "least", "most")
+    fields = cells.groupBy("leaf", "position", "rest").agg(*several).where("n > 1 AND least <> most").drop("n", "least", "most")
+    constant = cells.join(shared, ["leaf", "position", "token"]).join(fields, ["leaf", "position", "rest"], "left_anti")
     found = constant.groupBy("leaf", "hash", "tokens").agg(
-        F.count(F.lit(1)).alias("constant"), F.bit_xor(F.xxhash64("position", "token")).alias("template")
+        F.count(F.lit(1)).alias("constant"), F.bit_xor(own).alias("template")
     )
     enough = (F.col("constant") + DEPTH) * 100 >= F.col("tokens") * SIMILARITY
     return found.where(enough).select("leaf", "hash", "template", F.lit(True).alias("general"))
@@ -158,12 +181,12 @@ def drop_recurring_lines(
     """``df`` without the lines that recur from another document: all columns, the text replaced, and ``count_col`` if named.
 
     * Lines end at ``\\n``; a line counts with its white space collapsed and its variable fields open. Lines of fewer than
-      ``MIN_WORDS`` words never are dropped. Lines that recur only inside their own document stay.
+      ``MIN_WORDS`` words that are shorter than ``MIN_CHARACTERS`` recur only as they are. Blank lines stay, and so do lines that
+      recur only inside their own document.
     * Of the documents that share a template, the one with the smallest id keeps its lines.
     * Null texts stay null. Rows without an id are left alone. Rows that repeat an id with equal text are one document and
       change together.
-    * ``drop_emptied``: documents from which lines were dropped and no line is left that could be (so, none of
-      ``MIN_WORDS`` words) go.
+    * ``drop_emptied``: documents from which lines were dropped and of which only white space is left go.
     * A column of ``df`` named like ``count_col`` is replaced; without ``count_col`` the columns are those of ``df``.
     """
     gone = recurring_lines(df, id_col, text_col).groupBy("id", "version").agg(F.collect_list("line_no").alias("numbers"))
@@ -183,7 +206,7 @@ def drop_recurring_lines(
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
                 new.append(text)
                 counts.append(len(numbers))
-                stay.append(not (drop_emptied and numbers and next(parsed_lines(text), None) is None))
+                stay.append(not (drop_emptied and numbers and not text.split()))
             columns, names = batch.columns[:-1], batch.schema.names[:-1]
             columns[at] = pa.array(new, texts.type)
             if count_col:

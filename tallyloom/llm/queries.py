@@ -76,25 +76,36 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     WITH lines AS (
         SELECT doc_id, i - 1 AS line_no, x[i] AS line
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)
+    ), collapsed AS (
+        SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS bare FROM lines
     ), masked AS (
-        SELECT *, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' '),
-                                 lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-        FROM lines
-    ), own AS (
-        SELECT *, len(tokens) AS n, list_slice(tokens, 1, 3) AS lead
+        SELECT doc_id, line_no, line, bare,
+               list_transform(string_split(bare, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w,
+               list_transform(string_split(replace(bare, ' ', ''), ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS c
+        FROM collapsed WHERE bare <> ''
+    ), kinds AS (
+        SELECT *, CASE WHEN len(list_filter(w, lambda t: t <> '<*>')) >= 3 THEN 'w'
+                       WHEN len(list_filter(c, lambda t: t <> '<*>')) >= 20 THEN 'c' ELSE 's' END AS kind
         FROM masked
-        WHERE array_to_string(tokens, ' ') <> '' AND len(list_filter(tokens, lambda t: t <> '<*>')) >= 3
+    ), cut AS (
+        SELECT doc_id, line_no, line, kind, CASE kind WHEN 'w' THEN w WHEN 'c' THEN c ELSE [bare] END AS tokens FROM kinds
+    ), own AS (
+        SELECT *, len(tokens) AS n, list_prepend(kind, list_slice(tokens, 1, 3)) AS lead FROM cut
     ), distinct_lines AS (
         SELECT n, lead, tokens, min(doc_id) AS low, max(doc_id) AS high FROM own GROUP BY ALL
     ), open_lines AS (
         SELECT * FROM distinct_lines QUALIFY count(*) OVER (PARTITION BY n, lead) > 1
     ), cells AS (
-        SELECT n, lead, tokens, low, high, p, tokens[p] AS token FROM open_lines, unnest(range(4, n + 1)) AS r(p)
-    ), fields AS (
-        SELECT n, lead, p, token FROM cells GROUP BY ALL HAVING min(low) <> max(high)
+        SELECT n, lead, tokens, low, high, p, tokens[p] AS token,
+               list_concat(list_slice(tokens, 1, p - 1), list_slice(tokens, p + 1, n)) AS rest
+        FROM open_lines, unnest(range(4, n + 1)) AS r(p)
+    ), judged AS (
+        SELECT *, count(*) OVER own_token > 1 AND min(low) OVER own_token <> max(high) OVER own_token AS shared,
+               count(*) OVER own_rest > 1 AND min(low) OVER own_rest <> max(high) OVER own_rest AS field
+        FROM cells WINDOW own_token AS (PARTITION BY n, lead, p, token), own_rest AS (PARTITION BY n, lead, p, rest)
     ), general AS (
         SELECT n, lead, tokens, list((p, token) ORDER BY p) AS template
-        FROM cells JOIN fields USING (n, lead, p, token) GROUP BY ALL
+        FROM judged WHERE shared AND NOT field GROUP BY ALL
         HAVING (count(*) + 3) * 100 >= n * 80
     ), known AS (
         SELECT d.*, template FROM distinct_lines d LEFT JOIN general USING (n, lead, tokens)
