@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines whose template recurs from another; those with no line of three words left go. ``n_chars`` follows the text."""
+    """Documents without lines whose template recurs from another; those of which only white space is left go. ``n_chars`` follows the text."""
     slim = line_templates.drop_recurring_lines(docs, count_col=None, drop_emptied=True)
     return slim.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else slim
 
