@@ -54,7 +54,7 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) for each hash, another one for each salt, whatever the partitioning."""
-    x = h.view(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+    x = h.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54

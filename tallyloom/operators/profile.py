@@ -294,11 +294,18 @@ def sample_values(df: DataFrame, row_key: str, k: int = 5) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row. Rows are compared by the SHA-256 of their
-    full JSON form, which is all that is shuffled."""
-    cells = ", ".join(f"{cell_sql(f)} AS {quoted(f.name)}" for f in df.schema.fields)
-    whole = f"to_json(struct({cells}), map('ignoreNullFields', 'false'))"
-    copies = df.groupBy(F.expr(f"sha2({whole}, 256)").alias("row_hash")).agg(F.count(F.lit(1)).alias("copies"))
+    """Rows that repeat an earlier row. All rows are compared by a typed hash of 128 bits, which is all that is shuffled;
+    those with a hash that occurs again are read once more and compared in full, by the SHA-256 of their JSON form."""
+    cells = {f.name: cell_sql(f) for f in df.schema.fields}
+    # A hash passes over nulls, so that which cells are null is hashed as well.
+    nulls = ", ".join(f"{c} IS NULL" for c in cells.values())
+    typed = ", ".join([*cells.values(), f"array({nulls})"])
+    hashes = [F.expr(f"xxhash64({typed})").alias("_h1"), F.expr(f"xxhash64('again', {typed})").alias("_h2")]
+    again = df.select(*hashes).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    whole = ", ".join(f"{cell} AS {quoted(name)}" for name, cell in cells.items())
+    whole = F.expr(f"sha2(to_json(struct({whole}), map('ignoreNullFields', 'false')), 256)")
+    suspects = df.select("*", *hashes).join(again, ["_h1", "_h2"], "left_semi")
+    copies = suspects.groupBy(whole.alias("row_hash")).agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import brackets
 from tallyloom.operators import clustering, insights, prep, stats, supervised
 from tallyloom.workload.commerce import RFM_ASOF, RFM_SCORES, relations, segments_of
 from tallyloom.workload.inputs import LINES, order_log, registry, sales_lines, table
@@ -88,6 +89,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(top, 6, "correlation", "abs_correlation")
 
 
+@query(
+    "corr_embedding",
+    """WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) AS r(i))
+    SELECT 'e' || (a.i - 1) AS var1, 'e' || (b.i - 1) AS var2, round(corr(a.x, b.x), 6) AS correlation, count(*) AS rows
+    FROM e a JOIN e b USING (vec_id) WHERE a.i < b.i GROUP BY ALL""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of 64 dimensions of the embeddings, in one scan."""
+    wide = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)])
+    return rounded(stats.correlation_pairs(wide).drop("i", "j"), 6, "correlation")
+
+
+QUANTILES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+QUANTILE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+
+
+@query(
+    "column_quantiles",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {p}::DOUBLE AS probability, quantile_cont({c}::DOUBLE, {p}) AS quantile, count({c}) AS n FROM lineitem"
+        for c in QUANTILE_COLUMNS
+        for p in QUANTILES
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles of the numbers of all order lines, by closing brackets."""
+    return brackets.quantiles_of(table(spark, sf, "lineitem"), QUANTILE_COLUMNS, QUANTILES)
+
+
 @query(
     "key_correlation",
     f"""WITH {MEASURED}, pairs AS (

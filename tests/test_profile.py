@@ -142,3 +142,27 @@ def test_odd_column_names(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "`it's 5` int, `a.b` string")
     got = {r["column_name"]: r for r in rows(profile.profile_tables({"t": df}))}
     assert got["it's 5"]["max"] == 2.0 and got["a.b"]["unique_count"] == 2
+
+
+def test_duplicates_by_typed_hash(spark):
+    """Nulls in other columns, NaN, nested nulls and texts that look like numbers are told apart as before."""
+    rows = [
+        (1, None, "a", [1, None], 1.5),
+        (1, "a", None, [1, None], 1.5),
+        (1, None, "a", [None, 1], 1.5),
+        (1, None, "a", [1, None], 1.5),
+        (2, "1", "2", None, float("nan")),
+        (2, "1", "2", None, None),
+        (2, "12", "", None, None),
+        (2, "1", "2", None, float("nan")),
+    ]
+    df = spark.createDataFrame(rows, "k int, s string, t string, v array<int>, x double").repartition(3)
+    assert profile.duplicate_rows(df).head()[0] == 3
+    assert profile.duplicate_rows(df.limit(0)).head()[0] == 0
+
+
+def test_duplicates_shuffle_hashes_only(spark):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS long_text")
+    plan = profile.duplicate_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("GROUP") :] if "GROUP" in plan else plan
+    assert "Aggregate [_h1" in grouped and profile.duplicate_rows(df).head()[0] == 0
