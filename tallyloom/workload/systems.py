@@ -217,6 +217,34 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(target).withColumn("mean", F.round("mean", 6))
 
 
+SESSIONS = """marked AS (
+      SELECT *, ts - lag(ts) OVER w >= INTERVAL 6 HOURS OR lag(ts) OVER w IS NULL AS opens
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+    ), numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM marked),
+    sessions AS (
+      SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS rows, round(sum(value), 4) AS amount
+      FROM numbered GROUP BY user_id, n
+    )"""
+
+
+@query("user_sessions", f"WITH {SESSIONS} SELECT * FROM sessions")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events in sessions with pauses of less than six hours."""
+    return jobs.sessions(table(spark, sf, "events"), "ts", "user_id", "value", "6 hours").withColumn("amount", F.round("amount", 4))
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {SESSIONS} SELECT * FROM sessions
+    WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream: the sessions that have closed by the time of the newest event."""
+    schema, target = table(spark, sf, "events").schema, scratch_path(spark, "stream-sessions")
+    jobs.session_stream(spark, f"{sf}/events*.parquet", schema, target, "ts", "user_id", "value", "6 hours").awaitTermination()
+    return spark.read.parquet(target).withColumn("amount", F.round("amount", 4))
+
+
 @query(
     "stream_daily",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS rows,

@@ -161,7 +161,9 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
         assert day["rows"] == len(seen) and day["amount"] == pytest.approx(sum(seen))
         (v,) = [r for r in rows(spark.read.parquet(profiled)) if r["column_name"] == "v"]
         assert v["row_count"] == len(seen) and v["mean"] == pytest.approx(sum(seen) / len(seen))
-    assert spark.read.parquet(totals).select("batch").distinct().count() >= 3
+    # All but the last batch of the runs before are merged; what is read doesn't grow with the runs.
+    bases, batches = (sorted(p.name for p in (tmp_path / name).glob("*=*")) for name in ("totals-base", "totals"))
+    assert len(bases) == 1 and len(batches) <= 3
 
 
 def test_daily_stream_over_several_triggers(spark, tmp_path):
@@ -172,3 +174,42 @@ def test_daily_stream_over_several_triggers(spark, tmp_path):
     jobs._updates(totals.select(F.col("day.start").alias("day"), "g", "rows", "amount"), target).awaitTermination()
     assert spark.read.parquet(target).select("batch").distinct().count() >= 6
     assert [(r["rows"], r["amount"]) for r in rows(jobs.daily_table(spark, target, "g"), "day")] == [(24, 24.0)] * 2
+
+
+def test_merging_updates_survives_an_end_at_any_point(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.range(48).select(F.timestamp_seconds(F.col("id") * 3600).alias("at"), F.lit(1.0).alias("v"), F.lit("g").alias("g"))
+    df.repartition(6).write.parquet(source)
+    totals = jobs.daily_totals(jobs.file_stream(spark, source, df.schema, files_per_trigger=1), "at", "v", "g", "9 days")
+    jobs._updates(totals.select(F.col("day.start").alias("day"), "g", "rows", "amount"), target).awaitTermination()
+    want = rows(jobs.daily_table(spark, target, "g"), "day")
+    (tmp_path / "out-base/upto=3").mkdir(parents=True)  # begun, never finished
+    assert rows(jobs.daily_table(spark, target, "g"), "day") == want
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "_delete", lambda *_: None)  # ended before anything was deleted
+        jobs.merge_updates(spark, target, "g")
+        assert rows(jobs.daily_table(spark, target, "g"), "day") == want
+    for _ in range(2):
+        jobs.merge_updates(spark, target, "g")
+        assert rows(jobs.daily_table(spark, target, "g"), "day") == want
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 1 and len(list((tmp_path / "out-base").glob("upto=*"))) == 1
+
+
+def test_sessions_of_a_stream_equal_those_of_the_table(spark, tmp_path):
+    """Over two starts, with a session that goes on from one to the other; open ones come once they close."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def part(seconds):
+        return spark.createDataFrame([(k, s, 1.0) for k in ("a", "b") for s in seconds], "k string, s long, v double").select(
+            "k", F.timestamp_seconds("s").alias("at"), "v"
+        )
+
+    everything = None
+    for seconds in ([0, 100, 5000], [5200, 9000], [500_000]):
+        df = part(seconds)
+        df.coalesce(1).write.mode("append").parquet(source)
+        everything = df if everything is None else everything.unionByName(df)
+        jobs.session_stream(spark, source, df.schema, target, "at", "k", "v", "10 minutes", late="1 hour").awaitTermination()
+    got = rows(spark.read.parquet(target), "k", "start")
+    want = [r for r in rows(jobs.sessions(everything, "at", "k", "v", "10 minutes"), "k", "start") if r["rows"] and r["start"].timestamp() < 400_000]
+    assert got == want and sorted(r["rows"] for r in got) == [1, 1, 2, 2, 2, 2]
