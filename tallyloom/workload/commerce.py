@@ -37,10 +37,11 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
 
 @query(
     "standardize_columns",
-    f"WITH {RAW_LOG} SELECT invoice, customer, product, quantity, CAST(price AS DOUBLE) AS price, country FROM raw",
+    f"""WITH {RAW_LOG} SELECT invoice, customer, coalesce(strftime(bought_at, '%Y-%m-%d %H:%M:%S'), 'not a date') AS date, product, quantity,
+    CAST(price AS DOUBLE) AS price, country FROM raw""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    df = standardise(raw_log(spark, sf)).drop("date")
+    df = standardise(raw_log(spark, sf))
     return doubles(df.withColumn("customer", F.trim("customer")), "price")
 
 
@@ -719,22 +720,24 @@ def distinct_counts(df: DataFrame) -> dict[str, int]:
     f"""WITH {LINES}, c AS (SELECT customer_id, count(DISTINCT invoice_id) AS n FROM lines GROUP BY 1),
     m AS (SELECT strftime(order_date, '%Y-%m') AS label, CAST(sum(quantity) AS DOUBLE) AS value, count(*) AS rows FROM lines
           GROUP BY 1 ORDER BY 1 DESC LIMIT 12),
+    few AS (SELECT count(DISTINCT product) BETWEEN 3 AND 200 AS few FROM lines),
+    i AS (SELECT CASE WHEN few THEN product ELSE country END AS label, CAST(sum(quantity) AS DOUBLE) AS value, count(*) AS rows
+          FROM lines, few GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
     p AS (SELECT country AS label, CAST(sum(quantity) AS DOUBLE) AS value, count(*) AS rows FROM lines
           GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8),
-    s AS (SELECT country AS label, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lines) AS value, count(*) AS rows FROM lines
-          GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5)
+    s AS (SELECT CASE WHEN few THEN product ELSE country END AS label, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lines) AS value,
+                 count(*) AS rows FROM lines, few GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5)
     SELECT 'kpi' AS section, 'Total Revenue' AS label, CAST(sum(total_price) AS DOUBLE) AS value, NULL::BIGINT AS rows FROM lines
     UNION ALL SELECT 'kpi', 'Total Orders', count(DISTINCT invoice_id)::DOUBLE, NULL FROM lines
     UNION ALL SELECT 'kpi', 'Active Customers', count(DISTINCT customer_id)::DOUBLE, NULL FROM lines
     UNION ALL SELECT 'kpi', 'Repeat Rate', (count(*) FILTER (n > 1) * 100)::DOUBLE / count(*)::DOUBLE, NULL FROM c
-    UNION ALL SELECT 'trend', * FROM m UNION ALL SELECT 'items', * FROM p UNION ALL SELECT 'places', * FROM p
+    UNION ALL SELECT 'trend', * FROM m UNION ALL SELECT 'items', * FROM i UNION ALL SELECT 'places', * FROM p
     UNION ALL SELECT 'shares', * FROM s""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Products are too many for a chart, so that the countries are the items too."""
+    """Products are the items where they are few enough for a chart, else countries."""
     lines = sales_lines(spark, sf, product=True, country=True).drop("line_id")
-    counts = {"country": 25, "product": 1_000_000, "customer_id": 1_000_000, "invoice_id": 1_000_000}
-    return dashboards.table_dashboard(lines, counts, "ecommerce")
+    return dashboards.table_dashboard(lines, distinct_counts(lines), "ecommerce")
 
 
 STAFF = """staff AS (
@@ -768,7 +771,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("s_suppkey") % 7 == 0, "Yes").otherwise("No").alias("attrition"),
         )
     )
-    return dashboards.table_dashboard(staff, {"department": 25}, "hr")
+    return dashboards.table_dashboard(staff, distinct_counts(staff), "hr")
 
 
 @query(

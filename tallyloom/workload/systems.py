@@ -19,13 +19,17 @@ Q, SQL, query = registry()
 # --- sources ---------------------------------------------------------------
 
 
-@query("csv_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query(
+    "csv_scan",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The orders as a CSV whose headers carry stray blanks, read back."""
     path = scratch_path(spark, "csv")
-    orders = table(spark, sf, "orders").drop("o_orderdate").withColumnsRenamed({"o_custkey": " o_custkey "})
-    orders.write.option("header", True).csv(path)
-    return files.csv_scan(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    table(spark, sf, "orders").withColumnsRenamed({"o_custkey": " o_custkey "}).write.option("header", True).csv(path)
+    return files.csv_scan(spark, path).withColumns(
+        {"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd")}
+    )
 
 
 @query("csv_scan_latin1", "SELECT c_custkey, concat('Zoë ', c_name) AS label FROM customer")
