@@ -261,11 +261,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     " UNION ALL ".join(
         f"""SELECT * FROM (SELECT '{c}' AS column_name, row_number() OVER (ORDER BY c_custkey) AS place,
             CAST({c} AS VARCHAR) AS value FROM customer WHERE {c} IS NOT NULL) WHERE place <= 5"""
-        for c in ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+        for c in ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.sample_values(table(spark, sf, "customer").drop("c_acctbal"), "c_custkey")
+    return profile.sample_values(table(spark, sf, "customer"), "c_custkey")
 
 
 DUPLICATES = "duplicates AS (" + " UNION ALL ".join(
