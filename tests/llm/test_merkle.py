@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from llm_fixtures import awkward, documents, with_clashes  # noqa: F401
 from pyspark.sql import functions as F
 
 from tallyloom.llm import merkle, queries
-from tests.llm.llm_fixtures import awkward, documents, with_clashes  # noqa: F401
 
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
