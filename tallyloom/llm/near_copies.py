@@ -37,6 +37,8 @@ BITS = SEGMENTS * golay.LENGTH
 MOST_BITS = 54
 #: Nodes up to which a bucket is joined with itself, and leaders of a larger one.
 PAIR_BUCKET, LEADERS = 16, 4
+#: Shingles that are sent to every worker with their frequencies (16 bytes each): each holds more than this part of all places.
+FREQUENT = 1_000_000
 #: Hashes that are permuted at a time, and documents that are worked on and leave Python at a time.
 BLOCK, DOCUMENTS_OUT = 1 << 10, 256
 
@@ -168,20 +170,49 @@ def _close(a: str, b: str) -> Column:
 def rare_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of different ``part`` that may have a similarity of ``SIMILARITY``, none missed, few too many.
 
-    Shingles are ordered by how many of the sets hold them. A set of n shingles that reaches the similarity t with one no
+    Shingles are ordered by how many of the sets hold them, the most frequent ones, at most ``FREQUENT``, behind all others; any
+    order is right, this one has short lists. A set of n shingles that reaches the similarity t with one no
     larger has one of its first n - ceil(t n) + 1 shingles in common with it, and that is one of the first
     m - ceil(2 t m / (1 + t)) + 1 of the smaller set. Sizes and the places of the common shingle bound the overlap further. Under
     a shingle whose holders are of one part nothing is joined; under others, those outside its largest part meet all.
     """
-    long = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    held = long.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = long.join(held, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
-    t, n = SIMILARITY, F.col("n")
-    ceil_of = lambda top, bottom: F.expr(f"({top} + {bottom} - 1) div {bottom}")
-    probe = n - ceil_of(f"{t} * n", 100) + 1
-    index = n - ceil_of(f"{2 * t} * n", 100 + t) + 1
-    first = ranked.join(parts, "node").select("node", "part", "n", index.alias("index"), F.posexplode(F.slice("order", F.lit(1), probe.cast("int"))).alias("i", "s"))
-    posts = materialise(first.select("node", "part", "n", "i", (F.col("i") < F.col("index")).alias("indexed"), F.col("s.h").alias("h")), "copies-posts")
+    spark, t = sets.sparkSession, SIMILARITY
+    held = sets.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    held = materialise(held.where("df > 1"), "copies-held")
+    total = held.agg(F.sum("df").alias("n")).head()["n"] or 0
+    frequent = held.where(F.col("df") * FREQUENT > total).orderBy("h").toPandas()
+    known = spark.sparkContext.broadcast((frequent["h"].to_numpy(np.int64), frequent["df"].to_numpy(np.int64)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, df = known.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS_OUT):
+                batch = whole.slice(at, DOCUMENTS_OUT)
+                out: list[tuple[int, int, np.ndarray]] = []
+                for k in range(batch.num_rows):
+                    hashes = np.asarray(batch.column(2)[k].values.to_numpy(zero_copy_only=False))
+                    n = len(hashes)
+                    place = np.minimum(np.searchsorted(listed, hashes), max(len(listed) - 1, 0))
+                    often = np.where(listed[place] == hashes, df[place], 0) if len(listed) else np.zeros(n, np.int64)
+                    probe = n - -(-t * n // 100) + 1
+                    out.append((k, n, hashes[np.lexsort([hashes, often])][:probe]))
+                rows = np.repeat([k for k, _, _ in out], [len(h) for _, _, h in out])
+                n = np.repeat([n for _, n, _ in out], [len(h) for _, _, h in out])
+                i = np.concatenate([np.arange(len(h)) for _, _, h in out])
+                taken = pa.array(rows, pa.int64())
+                yield pa.record_batch(
+                    {
+                        "node": batch.column(0).take(taken),
+                        "part": batch.column(1).take(taken),
+                        "n": pa.array(n, pa.int64()),
+                        "i": pa.array(i, pa.int64()),
+                        "indexed": pa.array(i < n - -(-2 * t * n // (100 + t)) + 1),
+                        "h": pa.array(np.concatenate([h for _, _, h in out]), pa.int64()),
+                    }
+                )
+
+    posts = sets.join(parts, "node").select("node", "part", "hashes")
+    posts = materialise(posts.mapInArrow(first, "node bigint, part bigint, n bigint, i bigint, indexed boolean, h bigint"), "copies-posts")
     sizes = posts.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("h").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.count(F.lit(1)).alias("n_parts"))
     posts = materialise(posts.join(sizes.where("n_parts > 1"), "h"), "copies-mixed")
