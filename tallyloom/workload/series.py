@@ -35,14 +35,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rolling_week",
-    """SELECT DISTINCT ts AS time, count(value) OVER w AS window_rows, round(sum(value) OVER w, 4) AS rolling_sum,
-              round(avg(value) OVER w, 6) AS rolling_mean
+    """SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, count(value) OVER w AS window_rows, (sum(value::DECIMAL(38,9)) OVER w)::DOUBLE AS rolling_sum,
+              (sum(value::DECIMAL(38,9)) OVER w)::DOUBLE / count(value) OVER w AS rolling_mean
        FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '604799999999 microseconds' PRECEDING AND CURRENT ROW)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the last seven days at each time, over all events as one series."""
     rolled = series.rolling_time(table(spark, sf, "events"), "ts", "value", "7 days")
-    return rounded(rounded(rolled, 6, "rolling_mean"), 4, "rolling_sum")
+    return rolled.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(

@@ -231,22 +231,31 @@ SESSIONS = """marked AS (
     )"""
 
 
-@query("user_sessions", f"WITH {SESSIONS} SELECT * FROM sessions")
+SESSION_ROWS = """SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime("end", '%Y-%m-%d %H:%M:%S.%f') AS "end",
+    rows, amount FROM sessions"""
+
+
+def shown(found: DataFrame) -> DataFrame:
+    times = {name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS") for name in ("start", "end")}
+    return found.withColumns(times | {"amount": F.round("amount", 4)})
+
+
+@query("user_sessions", f"WITH {SESSIONS} {SESSION_ROWS}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events in sessions with pauses of less than six hours."""
-    return jobs.sessions(table(spark, sf, "events"), "ts", "user_id", "value", "6 hours").withColumn("amount", F.round("amount", 4))
+    return shown(jobs.sessions(table(spark, sf, "events"), "ts", "user_id", "value", "6 hours"))
 
 
 @query(
     "stream_sessions",
-    f"""WITH {SESSIONS} SELECT * FROM sessions
+    f"""WITH {SESSIONS} {SESSION_ROWS}
     WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The same as a stream: the sessions that have closed by the time of the newest event."""
     schema, target = table(spark, sf, "events").schema, scratch_path(spark, "stream-sessions")
     jobs.session_stream(spark, f"{sf}/events*.parquet", schema, target, "ts", "user_id", "value", "6 hours").awaitTermination()
-    return spark.read.parquet(target).withColumn("amount", F.round("amount", 4))
+    return shown(spark.read.parquet(target))
 
 
 @query(
