@@ -80,7 +80,7 @@ def starts(rows: DataFrame, width: int, most: int, restarts: int, seed: int) ->
             for h, x in _batches(batches, width):
                 for r, centres in enumerate(so_far):
                     # Coordinates, not products: a row equal to a centre must have no weight at all.
-                    weight = np.ones(len(x)) if not step else np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+                    weight = np.ones(len(x)) if not step else np.min([np.einsum("ij,ij->i", x - c, x - c) for c in centres], axis=0)
                     with np.errstate(divide="ignore"):
                         time = -np.log(_uniform(h, seed + 1000 * r + step)) / weight
                     at = int(time.argmin())
@@ -101,25 +101,42 @@ def starts(rows: DataFrame, width: int, most: int, restarts: int, seed: int) ->
     return [np.array(c).reshape(-1, width) for c in chosen]
 
 
-def _pass(rows: DataFrame, width: int, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sizes, sums and squared distances of the centres of all models, in one pass."""
+def _nearest(distance: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which centre of its model each row is nearest to: ones and zeros by centre and row; of equally near centres the first.
+
+    Centres run down and rows across, so that every step works on a long run of rows.
+    """
+    own = np.empty(distance.shape)
+    for a, b in zip(edges[:-1], edges[1:]):
+        np.equal(distance[a:b], np.minimum.reduce(distance[a:b], axis=0), out=own[a:b], casting="unsafe")
+    if own.sum() > (len(edges) - 1) * distance.shape[1]:
+        for a, b in zip(edges[:-1], edges[1:]):
+            taken = np.zeros(distance.shape[1])
+            for c in range(a, b):
+                own[c] *= 1.0 - taken
+                taken += own[c]
+    return own
+
+
+def _totals(rows: DataFrame, width: int, models: list[np.ndarray], costs: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes, sums and, where asked for, squared distances of the centres of all models, in one pass."""
     edges = np.cumsum([0, *[len(m) for m in models]])
     stacked = np.concatenate(models)
+    # One product gives |c|^2 - 2xc, another adds up the rows of each centre and counts them.
+    factors = np.column_stack([-2 * stacked, (stacked * stacked).sum(axis=1)])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, sums, costs = np.zeros(len(stacked)), np.zeros((len(stacked), width)), np.zeros(len(stacked))
+        sums, cost = np.zeros((len(stacked), width + 1)), np.zeros(len(stacked))
         for _, x in _batches(batches, width):
-            for low in range(0, len(x), 4096):
-                part = x[low : low + 4096]
-                distance = _squared(part, stacked)
-                for a, b in zip(edges[:-1], edges[1:]):
-                    near = distance[:, a:b].argmin(axis=1)
-                    belongs = np.zeros((len(part), b - a))
-                    belongs[np.arange(len(part)), near] = 1.0
-                    sizes[a:b] += belongs.sum(axis=0)
-                    sums[a:b] += belongs.T @ part
-                    costs[a:b] += np.bincount(near, distance[np.arange(len(part)), a + near], b - a)
-        columns = {"centre": pa.array(np.arange(len(stacked)), pa.int32()), "n": pa.array(sizes), "cost": pa.array(costs)}
+            for low in range(0, len(x), 2048):
+                part = np.column_stack([x[low : low + 2048], np.ones(len(x[low : low + 2048]))])
+                distance = factors @ part.T
+                own = _nearest(distance, edges)
+                sums += own @ part
+                if costs:
+                    distance += (part[:, :width] * part[:, :width]).sum(axis=1)
+                    cost += (own * np.maximum(distance, 0.0)).sum(axis=1)
+        columns = {"centre": pa.array(np.arange(len(stacked)), pa.int32()), "n": pa.array(sums[:, width]), "cost": pa.array(cost)}
         yield pa.record_batch(columns | {f"s{i}": pa.array(sums[:, i]) for i in range(width)})
 
     names = ["n", "cost", *[f"s{i}" for i in range(width)]]
@@ -130,6 +147,11 @@ def _pass(rows: DataFrame, width: int, models: list[np.ndarray]) -> list[tuple[n
     return [(totals[a:b, 0], totals[a:b, 2:], totals[a:b, 1]) for a, b in zip(edges[:-1], edges[1:])]
 
 
+def _pass(rows: DataFrame, width: int, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes and sums of the centres of all models, for a step; only the last models need their squared distances."""
+    return _totals(rows, width, models, costs=False)
+
+
 def fit_all(rows: DataFrame, width: int, ks: Sequence[int], restarts: int, seed: int) -> dict[int, Centres]:
     """For each k the best of several starts by total squared distance; ``rows`` from ``rows_of``.
 
@@ -149,7 +171,7 @@ def fit_all(rows: DataFrame, width: int, ks: Sequence[int], restarts: int, seed:
         models = moved
     done += models
     best: dict[int, Centres] = {}
-    for (k, centres), (sizes, _, costs) in zip(done, _pass(rows, width, [c for _, c in done]), strict=True):
+    for (k, centres), (sizes, _, costs) in zip(done, _totals(rows, width, [c for _, c in done], costs=True), strict=True):
         if k not in best or costs.sum() < best[k].cost:
             best[k] = Centres(k, centres, sizes, float(costs.sum()))
     return best

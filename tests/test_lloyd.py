@@ -77,3 +77,27 @@ def test_draws_follow_squared_distance(spark):
     rows = lloyd.rows_of(points_of(spark, x, 2), "k")
     seconds = [s[1][0] for s in lloyd.starts(rows, 1, 2, 60, 5) if s[0][0] != 100.0]
     assert seconds and np.mean(np.array(seconds) == 100.0) > 0.95
+
+
+def test_the_nearest_centres_of_many_models_and_of_equally_near_ones_the_first():
+    rng = np.random.default_rng(3)
+    models = [rng.normal(size=(k, 3)) for k in range(2, 9) for _ in range(10)]
+    edges, x = np.cumsum([0, *[len(m) for m in models]]), rng.normal(size=(2048, 3))
+    x[:5], models[0][:] = 0.0, [[1.0, 0.0, 0.0], [-1.0, 0.0, 0.0]]
+    stacked = np.concatenate(models)
+    distance = ((stacked[:, None, :] - x[None]) ** 2).sum(axis=2)
+    own = lloyd._nearest(distance, edges)
+    for a, b in zip(edges[:-1], edges[1:]):
+        assert (own[a:b].argmax(axis=0) == distance[a:b].argmin(axis=0)).all() and (own[a:b].sum(axis=0) == 1).all()
+
+
+def test_costs_are_added_up_for_the_last_models_only(spark, blobs):
+    rows = lloyd.rows_of(points_of(spark, blobs[1]), "k")
+    models = [blobs[1][:k] for k in (2, 5)]
+    plain, last = lloyd._pass(rows, 3, models), lloyd._totals(rows, 3, models, costs=True)
+    for centres, (n, sums, none), (m, same, costs) in zip(models, plain, last, strict=True):
+        gaps = ((blobs[1][:, None] - centres) ** 2).sum(axis=2)
+        of = gaps.argmin(axis=1)
+        assert (n == np.bincount(of, minlength=len(centres))).all() and (m == n).all() and not none.any()
+        assert np.allclose(sums, [blobs[1][of == c].sum(axis=0) for c in range(len(centres))]) and np.allclose(sums, same)
+        assert np.allclose(costs, [gaps[of == c, c].sum() for c in range(len(centres))])
