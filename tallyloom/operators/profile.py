@@ -136,11 +136,32 @@ def catalog_facts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return materialise(facts.coalesce(1), "facts")
 
 
+def _counted(df: DataFrame, dataset_id: str, cells: Mapping[str, str], text: str, number: str) -> DataFrame:
+    """The distinct values of the columns in ``cells``, which share a type, counted; ``text`` and ``number`` are taken of each."""
+    names = [quoted(c) for c in cells]
+    long = df.selectExpr(*[f"{cell} AS {name}" for cell, name in zip(cells.values(), names)])
+    if len(names) > 1:
+        places = ", ".join(f"{i}, {name}" for i, name in enumerate(names))
+        long = long.selectExpr(f"stack({len(names)}, {places}) AS (place, value)")
+    else:
+        long = long.selectExpr("0 AS place", f"{names[0]} AS value")
+    counted = long.where("value IS NOT NULL").groupBy("place", "value").agg(F.count(F.lit(1)).alias("rows"))
+    listed = F.array(*[F.lit(c) for c in cells])
+    return counted.select(
+        F.lit(dataset_id).alias("dataset_id"),
+        F.get(listed, F.col("place")).alias("column_name"),
+        F.expr(text).alias("text"),
+        F.expr(number).alias("number"),
+        "rows",
+    )
+
+
 def value_table(tables: Mapping[str, DataFrame], facts: DataFrame) -> DataFrame:
-    """(dataset_id, column_name, text, number, rows): every distinct value, counted.
+    """(dataset_id, column_name, text, number, rows): every distinct value, counted; numbers and times have no text.
 
-    Columns of long text are counted by the SHA-256 of the whole value, so the texts
-    themselves are not shuffled. The choice reads the facts, a row per column.
+    Columns of one type are counted together by their place and the value as it is: short keys of fixed width for all but
+    strings. Columns of long text are counted by the SHA-256 of the whole value, so the texts themselves are not shuffled.
+    The choice reads the facts, a row per column.
     """
     long_text = {
         (r["dataset_id"], r["column_name"])
@@ -148,29 +169,21 @@ def value_table(tables: Mapping[str, DataFrame], facts: DataFrame) -> DataFrame:
     }
     parts = []
     for dataset_id, df in tables.items():
-        cells = []
+        alike: dict[tuple[str, str, str], dict[str, str]] = {}
         for field in df.schema.fields:
-            value, kind = cell_sql(field), kind_of(field)
-            number = f"cast({value} AS double)" if kind in NUMERIC_TYPES else "cast(NULL AS double)"
-            if (dataset_id, field.name) in long_text:
-                text = f"sha2(cast({value} AS string), 256)"
-            elif isinstance(field.dataType, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)):
-                text = "cast(NULL AS string)"  # the double holds the value exactly
-            else:
-                text = f"cast({value} AS string)"
-            cells.append(
-                f"CASE WHEN {value} IS NOT NULL THEN struct({text} AS text, {number} AS number) END "
-                f"AS {quoted(field.name)}"
-            )
-        long = df.selectExpr(*cells).unpivot([], [quoted(f.name) for f in df.schema.fields], "column_name", "value")
-        parts.append(
-            long.where("value IS NOT NULL").select(
-                F.lit(dataset_id).alias("dataset_id"), "column_name", "value.text", "value.number"
-            )
-        )
-    every = reduce(DataFrame.unionByName, parts)
-    counted = every.groupBy("dataset_id", "column_name", "text", "number").agg(F.count(F.lit(1)).alias("rows"))
-    return materialise(counted, "values")
+            cell, kind = cell_sql(field), kind_of(field)
+            text, number, stored = "cast(NULL AS string)", "cast(NULL AS double)", field.dataType.simpleString()
+            if kind in NUMERIC_TYPES:
+                number = "cast(value AS double)"
+                if kind == "integer":
+                    cell, stored = f"cast({cell} AS bigint)", "bigint"
+            elif kind != "datetime":
+                hashed = (dataset_id, field.name) in long_text
+                cell = f"sha2(cast({cell} AS string), 256)" if hashed else f"cast({cell} AS string)"
+                text, stored = "value", "string"
+            alike.setdefault((stored, text, number), {})[field.name] = cell
+        parts += [_counted(df, dataset_id, cells, text, number) for (_, text, number), cells in alike.items()]
+    return materialise(reduce(DataFrame.unionByName, parts), "values")
 
 
 COLUMN = ["dataset_id", "column_name"]
@@ -206,12 +219,12 @@ def outliers(values: DataFrame, quarts: DataFrame) -> DataFrame:
 
 
 def top_values(values: DataFrame, k: int = 5) -> DataFrame:
-    """The k most frequent values per column, ties by value. The row limit is applied
+    """The k most frequent texts per column, ties by value. The row limit is applied
     before the shuffle as well as after it."""
-    value = F.coalesce("text", F.col("number").cast("string"))
     order = W.partitionBy(*COLUMN).orderBy(F.desc("rows"), "value")
     return (
-        values.withColumn("value", value)
+        values.where("text IS NOT NULL")
+        .withColumnRenamed("text", "value")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
         .select(*COLUMN, "place", "value", "rows")

@@ -166,3 +166,30 @@ def test_duplicates_shuffle_hashes_only(spark):
     plan = profile.duplicate_rows(df)._jdf.queryExecution().optimizedPlan().toString()
     grouped = plan[plan.index("GROUP") :] if "GROUP" in plan else plan
     assert "Aggregate [_h1" in grouped and profile.duplicate_rows(df).head()[0] == 0
+
+
+def test_values_are_counted_as_they_are(spark):
+    """Numbers and times make no text, which was shuffled with each of them; neighbouring large integers stay apart."""
+    df = spark.sql(
+        """SELECT * FROM VALUES (9007199254740992L, 1.50BD, 2.5D, TIMESTAMP'2024-01-02 03:04:05', true, 'a', 1S),
+             (9007199254740993L, 1.50BD, double('NaN'), TIMESTAMP'2024-01-02 03:04:05', true, 'a', 2S),
+             (9007199254740993L, NULL, -0.0D, NULL, false, 'b', 2S), (NULL, 2.00BD, 0.0D, NULL, NULL, NULL, 2S)
+           AS t(`big id`, dec, dbl, at, flag, kind, small)"""
+    )
+    values = profile.value_table({"t": df}, profile.catalog_facts({"t": df}))
+    found = {(r["column_name"], r["text"], r["number"], r["rows"]) for r in values.collect()}
+    assert found == {
+        ("big id", None, 9007199254740992.0, 1),  # ...993 as a double
+        ("big id", None, 9007199254740992.0, 2),
+        ("dec", None, 1.5, 2),
+        ("dec", None, 2.0, 1),
+        ("dbl", None, 2.5, 1),
+        ("dbl", None, 0.0, 2),
+        ("at", None, None, 2),
+        ("flag", "true", None, 2),
+        ("flag", "false", None, 1),
+        ("kind", "a", None, 2),
+        ("kind", "b", None, 1),
+        ("small", None, 1.0, 1),
+        ("small", None, 2.0, 3),
+    }
