@@ -9,7 +9,7 @@ from tallyloom.functions import brackets
 from tallyloom.operators import clustering, insights, prep, stats, supervised
 from tallyloom.workload.commerce import RFM_ASOF, RFM_SCORES, relations, segments_of
 from tallyloom.workload.inputs import LINES, order_log, registry, sales_lines, table
-from tallyloom.workload.profiling import PROFILE, numeric_sql, stored_profile, tables
+from tallyloom.workload.profiling import PROFILE, numeric_sql, profile_of, stored_profile, tables
 
 Q, SQL, query = registry()
 
@@ -492,7 +492,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_drivers(spark: SparkSession, sf: str) -> supervised.Importance:
-    known = stored_profile(spark, sf).where("dataset_id = 'part'").select("column_name", "unique_count").collect()
+    known = profile_of(spark, sf, "part").select("column_name", "unique_count").collect()
     distinct = {r["column_name"]: r["unique_count"] for r in known}
     features = ["p_name", "p_brand", "p_type", "p_size"]
     return supervised.feature_importance(table(spark, sf, "part"), "p_partkey", "p_retailprice", features, distinct)

@@ -82,6 +82,14 @@ def stored_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _stored[key]
 
 
+def profile_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The profile of one table; the others are read only by those who need them."""
+    found = _stored.get((spark.sparkContext.applicationId, sf))
+    if found is None:
+        found = profile.profile_tables({name: tables(spark, sf)[name]})
+    return found.where(F.col("dataset_id") == name)
+
+
 # --- SQL of the profile ----------------------------------------------------
 
 

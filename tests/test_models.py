@@ -229,6 +229,33 @@ def test_metrics_match_their_formulas(spark):
     assert r["mae"] == pytest.approx(0.4) and r["rmse"] == pytest.approx(np.sqrt(0.6))
 
 
+def test_fits_are_spread_over_tasks(spark, labelled, monkeypatch):
+    """Also where the stored rows are one file; few rows stay as they are."""
+    one = labelled.coalesce(1)
+    assert supervised.spread(one).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(supervised, "FIT_ROWS", 30)
+    spread, n = supervised.spread(one), one.count()
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == -(-n // 30) and max(sizes) <= 2 * 30
+    assert spread.exceptAll(one).count() == 0 and spread.count() == n
+    given = []
+    monkeypatch.setattr(supervised, "spread", lambda rows: (given.append(rows.count()), rows)[1])
+    supervised.feature_importance(labelled, "row", "size", ["x", "noise"], {}, trees=2)
+    supervised.compare_models(labelled, "row", "size", ["x", "noise"], trees=2, boosts=2)
+    assert given == [n, round(n * 0.8)]
+
+
+def test_price_drivers_profile_one_table(spark, monkeypatch):
+    from tallyloom.workload import analysis, profiling
+
+    profiled, honest = [], profiling.profile.profile_tables
+    monkeypatch.setattr(profiling, "_stored", {})
+    monkeypatch.setattr(profiling.profile, "profile_tables", lambda tables: (profiled.extend(tables), honest(tables))[1])
+    monkeypatch.setattr(analysis.supervised, "feature_importance", lambda df, key, target, features, distinct: distinct)
+    distinct = analysis.price_drivers(spark, "/root/testdata/sf0.001")
+    assert profiled == ["part"] and {"p_name", "p_brand", "p_type", "p_size"} <= set(distinct)
+
+
 def test_importance_and_drivers(labelled):
     found = supervised.feature_importance(
         labelled, "row", "size", ["x", "noise", "colour"], {"x": 180, "noise": 200, "colour": 2}, trees=10
