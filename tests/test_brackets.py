@@ -82,3 +82,14 @@ def test_only_the_bracket_is_grouped(spark, monkeypatch):
     for n in (20_000, 200_000):
         brackets.quantiles_of(spark.range(n).select(F.rand(1).alias("v")), ["v"], [0.5])
     assert max(seen) <= 2 * 1000
+
+
+def test_a_bracket_is_sketched_once(numbers, monkeypatch):
+    """However many ranks are wanted of it."""
+    df, tables = numbers
+    monkeypatch.setattr(brackets, "KEEP", 100)
+    sketches, honest = [], F.percentile_approx
+    monkeypatch.setattr(brackets.F, "percentile_approx", lambda *a: (sketches.append(a), honest(*a))[1])
+    got = {r.probability: r.quantile for r in brackets.quantiles_of(df, ["spread"], [0.1, 0.3, 0.5, 0.7]).collect()}
+    assert got == {p: pytest.approx(np.quantile(tables["spread"], p), rel=1e-12) for p in got} and len(got) == 4
+    assert len(sketches) == 1
