@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.brackets import quantiles_of
-from tallyloom.functions.exprs import literal, percent_text, ratio, total
+from tallyloom.functions.exprs import known, literal, percent_text, ratio, total
 from tallyloom.functions.ranking import global_rank
 from tallyloom.operators.dashboard import monthly_gapfilled, value_shares
 from tallyloom.operators.profile import NUMERIC_TYPES
 from tallyloom.operators.rfm import AT_RISK, VIP
 from tallyloom.operators.stats import correlation_pairs, key_correlation
+from tallyloom.session import materialise
 
 # Keywords of the insight rules.
 MONEY_WORDS = ["price", "revenue", "sales", "total", "amount", "salary"]
@@ -54,9 +55,10 @@ def repeat_rate(rfm: DataFrame) -> DataFrame:
 
 def country_concentration(orders: DataFrame) -> DataFrame:
     """The three largest countries and the share of the first."""
-    by_country = orders.groupBy("country").agg(total(F.col("total_price")).alias("revenue"))
+    sums = materialise(orders.groupBy("country").agg(F.sum(known(F.col("total_price"))).alias("sum")), "country-sums")
+    by_country = sums.select("country", F.coalesce(F.col("sum").cast("double"), F.lit(0.0)).alias("revenue"))
     top = by_country.where(F.col("country").isNotNull()).orderBy(F.desc("revenue"), "country").limit(3)
-    everything = orders.agg(total(F.col("total_price"))).scalar()
+    everything = sums.agg(total(F.col("sum"))).scalar()
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("revenue")).alias("minus"), "country", "revenue")))
     return (
         top.agg(ordered.alias("top"))
@@ -71,7 +73,12 @@ def country_concentration(orders: DataFrame) -> DataFrame:
 
 
 def aov_skew(orders: DataFrame) -> DataFrame:
-    """Mean and exact median of the order-line value, and whether the mean is far above."""
+    """Mean and exact median of the order-line value, and whether the mean is far above. The values are stored once, as
+    brackets read them several times."""
+    return _skew(materialise(orders.select("total_price"), "order-values"))
+
+
+def _skew(orders: DataFrame) -> DataFrame:
     median = quantiles_of(orders, ["total_price"], [0.5]).select("quantile").scalar()
     sums = orders.agg((F.sum("total_price").cast("double") / F.count("total_price")).alias("aov"))
     return sums.withColumn("median_order", median).withColumn("skewed", F.col("aov") > F.col("median_order") * 1.5)
@@ -83,7 +90,11 @@ def _insight(frame: DataFrame, test: Column, **values: Column | str) -> DataFram
 
 
 def business_insights(rfm: DataFrame, segments: DataFrame, orders: DataFrame) -> DataFrame:
-    """The five findings on customers and orders, each only where its threshold is met."""
+    """The five findings on customers and orders, each only where its threshold is met. What they read of each is stored
+    once: the inputs are joins and scores that every finding would compute again."""
+    rfm = materialise(rfm.select("customer_id", "frequency", "monetary"), "scores")
+    segments = materialise(segments.select("customer_id", "segment_label"), "segments")
+    orders = materialise(orders.select("country", "total_price"), "order-values")
 
     def pct(name: str) -> Column:
         return percent_text(F.col(name))
@@ -160,7 +171,7 @@ def business_insights(rfm: DataFrame, segments: DataFrame, orders: DataFrame) ->
             action_label="Explore New Markets",
         ),
         _insight(
-            aov_skew(orders),
+            _skew(orders),
             F.col("skewed"),
             id="aov-skew",
             category="opportunity",

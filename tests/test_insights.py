@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tallyloom.operators import insights, profile
 
@@ -66,3 +67,22 @@ def test_business_rules(spark):
     assert got["vip-concentration"]["metric_value"] == "90.0%" and got["repeat-rate"]["category"] == "recommendation"
     assert "B and other regions" in got["country-concentration"]["description"]
     assert got["aov-skew"]["metric_value"] == "₹25 / ₹8"
+
+
+def test_business_rules_read_their_inputs_once(spark):
+    """A join behind the order lines is not run again by every finding and scan."""
+    scores = spark.createDataFrame([(1, 2, 90.0), (2, 1, 5.0)], "customer_id int, frequency int, monetary double")
+    segments = spark.createDataFrame([(1, "VIP Customers"), (2, "At-Risk Customers")], "customer_id int, segment_label string")
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        reads.add(1)
+        return v
+
+    lines = spark.createDataFrame([("A", 80.0), ("A", 10.0), ("B", 5.0), (None, None)], "country string, price double")
+    orders = lines.select("country", seen("price").alias("total_price"))
+    assert len(rows(insights.business_insights(scores, segments, orders))) == 5
+    assert reads.value == 4
+    (found,) = rows(insights.country_concentration(lines.withColumnRenamed("price", "total_price")))
+    assert (found["first"], found["second"], found["third"]) == ("A", "B", None) and found["top_pct"] == pytest.approx(9000 / 95)
