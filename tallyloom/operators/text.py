@@ -21,8 +21,13 @@ def words(text: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, n), stored: how often each document has each term. Rows with the same key are one document."""
-    long = df.select(F.col(key).alias("doc"), F.explode(words(F.col(text))).alias("term"))
+    """(doc, term, n), stored: how often each document has each term. Rows with the same key are one document.
+
+    Whole texts are spread over tasks of even size first, whatever their keys: a file of one row group is one task's scan, and
+    cutting texts into words is most of the work.
+    """
+    spread = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).hint("rebalance")
+    long = spread.select("doc", F.explode(words(F.col("text"))).alias("term"))
     return materialise(long.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
 
 

@@ -87,3 +87,12 @@ def test_diversity_equals_all_draws(counts, monkeypatch, drawn):
 def test_empty(spark):
     counts = text.term_counts(spark.createDataFrame([], "k bigint, t string"), "k", "t")
     assert text.tfidf(counts).collect() == [] and text.lexical_richness(counts).collect() == []
+
+
+def test_texts_are_spread_before_they_are_cut(spark, monkeypatch):
+    """One scan task must not cut all texts into words."""
+    plans = []
+    monkeypatch.setattr(text, "materialise", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
+    found = text.term_counts(spark.createDataFrame(DOCS, "k bigint, t string").coalesce(1), "k", "t")
+    assert "Rebalance" in plans[0].split("Generate", 1)[1]
+    assert {(r.doc, r.term): r.n for r in found.collect()} == {(i, w): n for i, c in counted(DOCS).items() for w, n in c.items()}
