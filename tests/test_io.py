@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tallyloom.functions.running_sha import RunningSha256
 from tallyloom.operators import profile
 from tallyloom.session import materialise, shared_folder
 from tallyloom.sources import files, sinks
@@ -80,6 +83,41 @@ def test_hashes_and_storage(spark, tmp_path):
     assert [(u["bytes"], u["files"], u["quota_pct"]) for u in used] == [(10, 2, 10.0), (4, 1, 4.0)]
 
 
+def test_long_files_are_hashed_in_steps(spark, tmp_path):
+    """Any bytes, lines, names and step; no task reads a long file whole."""
+    rng = random.Random(5)
+    noise, lines = rng.randbytes(30_000), b"".join(b"x" * rng.randrange(60) + b"\n" for _ in range(900))
+    contents = {
+        "noise": noise, "lines": lines, "open": lines + b"end", "marked": b"\xef\xbb\xbf" + lines, "marked open": b"\xef\xbb\xbf" + lines + b"\r",
+        "ends": b"\n" * 50_000, "one line": b"y" * 90_000, "crlf": lines.replace(b"\n", b"\r\n"), "é %41.gz": noise, "x.bz2": b"\xef\xbb\xbf" + noise[::-1],
+        "short": b"s", "step": b"z" * 16384, "deep/same": noise,
+    }
+    (tmp_path / "deep").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in contents.items()}
+    whole = {r["path"]: r for r in rows(files.file_hashes(spark, str(tmp_path)))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("9000", "70000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = {r["path"]: r for r in rows(files.file_hashes(spark, str(tmp_path), step=16384))}
+            assert found == whole
+            assert {k.split(f"{tmp_path}/")[1]: (r["length"], r["hash"]) for k, r in found.items()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_digest_goes_on_elsewhere():
+    data = random.Random(7).randbytes(1000)
+    for cut in (0, 1, 63, 64, 65, 999, 1000):
+        first = RunningSha256()
+        first.update(data[:cut])
+        second = RunningSha256(first.state())
+        second.update(data[cut:])
+        assert second.hexdigest() == hashlib.sha256(data).hexdigest() and first.hexdigest() == hashlib.sha256(data[:cut]).hexdigest()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
