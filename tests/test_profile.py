@@ -168,6 +168,21 @@ def test_duplicates_shuffle_hashes_only(spark):
     assert "Aggregate [_h1" in grouped and profile.duplicate_rows(df).head()[0] == 0
 
 
+def test_duplicates_leave_whole_rows_in_place(spark, monkeypatch):
+    """Rows were shuffled and sorted whole to look up their hashes, also where none repeats."""
+    df = spark.range(1000).selectExpr("id % 700 AS k", "nullif(id % 7, 3) AS v", "repeat('x', 100) AS long_text").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = profile.duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    for slots in (1 << 20, 64, 1):
+        monkeypatch.setattr(profile, "DUPLICATE_SLOTS", slots)
+        assert rows(profile.duplicate_rows(df)) == [{"duplicate_rows": 300}]
+
+
 def test_values_are_counted_as_they_are(spark):
     """Numbers and times make no text, which was shuffled with each of them; neighbouring large integers stay apart."""
     df = spark.sql(
