@@ -25,6 +25,8 @@ from tallyloom.session import materialise
 
 # monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits.
 PLACE_BITS = 33
+# Places of a partition that share all but the low 12 bits form a bin.
+BIN_BITS = 12
 
 
 def _spread(df: DataFrame, order: Sequence[Column | str], label: str) -> DataFrame:
@@ -41,9 +43,9 @@ def _spread(df: DataFrame, order: Sequence[Column | str], label: str) -> DataFra
     return materialise(spread, label)
 
 
-def _before(group: Sequence[str], amount: str) -> Column:
+def _before(group: Sequence[str], amount: str, order: Sequence[str] = ("_part",)) -> Column:
     """Sum of ``amount`` over the earlier partitions of the same group."""
-    window = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    window = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(amount).over(window), F.lit(0))
 
 
@@ -108,14 +110,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles from a value-count table.
 
-    Returns (group, probability, quantile, n). Only the partitions that hold a
-    wanted position are scanned a second time.
+    Returns (group, probability, quantile, n). Partitions are cut into bins of 4096
+    places, and only the bins that hold a wanted position are shuffled and sorted.
     """
     group = list(group)
     stored = _spread(counts.select(*group, value, rows), [*group, value], "quantile")
-    spans = stored.groupBy(*group, "_part").agg(F.sum(rows).alias("_rows"))
+    stored = stored.withColumn("_bin", F.shiftright("_place", BIN_BITS))
+    spans = stored.groupBy(*group, "_part", "_bin").agg(F.sum(rows).alias("_rows"))
     spans = spans.withColumns(
-        {"_offset": _before(group, "_rows"), "n": F.sum("_rows").over(W.partitionBy(*group))}
+        {"_offset": _before(group, "_rows", ("_part", "_bin")), "n": F.sum("_rows").over(W.partitionBy(*group))}
     )
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     hits = (
@@ -123,16 +126,16 @@ def exact_quantiles(
         .withColumn("_at", (F.col("n") - 1) * F.col("probability"))
         .withColumn("_side", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
         .where((F.col("_side") >= F.col("_offset")) & (F.col("_side") < F.col("_offset") + F.col("_rows")))
-        .select(*group, "_part", "_offset", "n", "probability", "_at", "_side")
+        .select(*group, "_part", "_bin", "_offset", "n", "probability", "_at", "_side")
         .distinct()
     )
-    places = hits.select(*group, "_part").distinct()
-    inside = W.partitionBy(*group, "_part").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
-    near = stored.join(F.broadcast(places), [*group, "_part"]).withColumn(
+    places = hits.select(*group, "_part", "_bin").distinct()
+    inside = W.partitionBy(*group, "_part", "_bin").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    near = stored.join(F.broadcast(places), [*group, "_part", "_bin"]).withColumn(
         "_inner", F.coalesce(F.sum(rows).over(inside), F.lit(0))
     )
     place = F.col("_side") - F.col("_offset")
-    found = near.join(F.broadcast(hits), [*group, "_part"]).where(
+    found = near.join(F.broadcast(hits), [*group, "_part", "_bin"]).where(
         (place >= F.col("_inner")) & (place < F.col("_inner") + F.col(rows))
     )
     low = F.min_by(value, "_side").cast("double")

@@ -69,6 +69,20 @@ def test_exact_quantiles(spark, seed):
         assert got[p] == pytest.approx(np.quantile(data["v"], p))
 
 
+@pytest.mark.parametrize("bits", [0, 2, 12])
+def test_quantiles_sort_only_the_bins_they_lie_in(spark, monkeypatch, bits):
+    """Whole partitions were shuffled and sorted, of which a value or two was wanted."""
+    monkeypatch.setattr(ranking, "BIN_BITS", bits)
+    data = hot_values(300, 4).assign(g=lambda d: np.where(d["k"] % 3 == 0, "a", "b"))
+    counts = ranking.value_counts(spark.createDataFrame(data), ["g"], "v")
+    found = ranking.exact_quantiles(counts, ["g"], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    sums = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line and "_place" in line]
+    assert sums and all("_bin" in line for line in sums)
+    for r in found.collect():
+        of = data[data["g"] == r.g]["v"]
+        assert r.quantile == pytest.approx(np.quantile(of, r.probability)) and r.n == len(of)
+
+
 @pytest.mark.parametrize("n", [5, 6, 11, 23, 100])
 def test_quintile_by_rank_matches_qcut(spark, n):
     got = spark.range(1, n + 1).select("id", ranking.quintile_by_rank(F.col("id"), F.lit(n)).alias("q")).toPandas()
