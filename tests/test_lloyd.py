@@ -101,3 +101,78 @@ def test_costs_are_added_up_for_the_last_models_only(spark, blobs):
         assert (n == np.bincount(of, minlength=len(centres))).all() and (m == n).all() and not none.any()
         assert np.allclose(sums, [blobs[1][of == c].sum(axis=0) for c in range(len(centres))]) and np.allclose(sums, same)
         assert np.allclose(costs, [gaps[of == c, c].sum() for c in range(len(centres))])
+
+
+def stored(x, h=None):
+    """The blocks of rows, as a task reads them."""
+    return list(lloyd._blocks(lloyd._packed(np.arange(len(x)) if h is None else h, x)))
+
+
+@pytest.mark.parametrize("n", [1, 7, 16, 25, 1000, 70_001])
+def test_cells_hold_every_row_once_and_their_boxes_hold_their_rows(n):
+    x = np.random.default_rng(n).normal(size=(n, 3))
+    x[: n // 3] = x[0]
+    blocks = stored(x)
+    assert sorted(np.concatenate([b.rows()[:3].T for b in blocks]).tolist()) == sorted(x.tolist())
+    assert sorted(np.concatenate([b.h[b.x[-1].reshape(-1) > 0] for b in blocks])) == list(range(n))
+    for b in blocks:
+        for nodes in b.levels:
+            held = b.x.reshape(4, len(nodes.scatter), -1)
+            gaps = np.abs(held[:3] - nodes.middle[:3, :, None]) * (held[3] > 0)
+            assert (gaps <= nodes.side[:, :, None] + 1e-12).all() and np.allclose(held.sum(axis=2), nodes.total)
+
+
+def test_most_cells_are_taken_whole_and_rightly():
+    rng = np.random.default_rng(5)
+    x, model = rng.normal(size=(40_000, 3)), rng.normal(size=(5, 3))
+    factors = np.column_stack([-2 * model, (model * model).sum(axis=1)])
+    whole = 0
+    for b in stored(x):
+        cells = b.levels[1]
+        own, sure = lloyd._decided(model, factors, cells, np.arange(len(cells.scatter)), 1e-12)
+        for c in np.flatnonzero(sure):
+            held = b.x[:3, c, b.x[3, c] > 0].T
+            assert (((held[:, None] - model) ** 2).sum(axis=2).argmin(axis=1) == own[c]).all()
+        whole += cells.total[-1][sure].sum()
+    assert whole > 0.6 * len(x)
+
+
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_totals_are_those_of_all_rows_one_by_one(spark, width):
+    rng = np.random.default_rng(width)
+    x = np.concatenate([rng.normal(size=(4000, width)), np.round(rng.normal(size=(1500, width)))])
+    models = [x[rng.integers(len(x), size=k)] + rng.normal(size=(k, width)) / 10 for k in (1, 2, 5, 8)]
+    rows = lloyd.rows_of(points_of(spark, x, 3), "k")
+    for centres, (n, sums, costs) in zip(models, lloyd._totals(rows, width, models, costs=True), strict=True):
+        gaps = ((x[:, None] - centres) ** 2).sum(axis=2)
+        of = gaps.argmin(axis=1)
+        assert n.tolist() == np.bincount(of, minlength=len(centres)).tolist()
+        assert np.allclose(sums, [x[of == c].sum(axis=0) for c in range(len(centres))])
+        assert np.allclose(costs, [gaps[of == c, c].sum() for c in range(len(centres))])
+
+
+def test_draws_are_those_of_a_race_of_all_rows(spark):
+    x = np.random.default_rng(11).normal(size=(50_000, 2)) ** 3
+    points = points_of(spark, x, 3)
+    rows = lloyd.rows_of(points, "k")
+    hashed = points.selectExpr("k", "xxhash64(k) AS h").toPandas().sort_values("k")["h"].to_numpy()
+    for r, drawn in enumerate(lloyd.starts(rows, 2, 3, 2, 9)):
+        for step in range(3):
+            weight = np.min([((x - c) ** 2).sum(axis=1) for c in drawn[:step]], axis=0) if step else np.ones(len(x))
+            with np.errstate(divide="ignore"):
+                time = -np.log(lloyd._uniform(lloyd._bits(hashed, 9 + 1000 * r + step))) / weight
+            assert drawn[step].tolist() == x[time.argmin()].tolist()
+
+
+def test_measures_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = spark.range(200).selectExpr("id", "id % 7 + id / 100 AS a", "id * id % 31 + 0.5 AS b")
+    table = plain.selectExpr("id", "cast(a AS double) AS a", "cast(b AS double) AS b")
+    found = clustering.cluster_table(table.mapInArrow(counted, table.schema), "id", max_k=3, restarts=2)
+    assert found.assigned.count() == 200 and seen.value == 200
