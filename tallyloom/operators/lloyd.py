@@ -30,8 +30,8 @@ CELL, GROUP = 16, 16
 #: Most numbers of the rows that are put into cells together, of those that are stored in one block, and of those that a task
 #: works on at once. Large blocks are slow to read, as the JVM copies each several times.
 SORTED, BLOCK, JOINED = 1 << 22, 1 << 15, 1 << 19
-#: Blocks that are sent to a Python worker together.
-SENT = 16
+#: Blocks that are read and sent to a Python worker together, and bytes of a file that are read together.
+SENT, READ = 16, 8 << 20
 #: Coordinates of all centres of a model up to which distances are written out, so that they are compiled.
 WRITTEN_OUT = 200
 #: Rows that are worked on at once, so that what comes between stays in a core's cache.
@@ -82,9 +82,9 @@ def rows_of(points: DataFrame, key: str) -> DataFrame:
             yield from _packed(*map(np.concatenate, zip(*held)))
 
     path = scratch_path(points.sparkSession, "lloyd-rows")
-    # A block is large: without these the writer looks at its size after a hundred of them only.
-    checks = {f"parquet.{part}.size.row.check.min": "1" for part in ("page", "block")}
-    plain.mapInArrow(packed, ROWS).write.options(compression="none", **checks).parquet(path)
+    # A block is large: without the checks the writer looks at its size after a hundred of them only.
+    sizes = {"parquet.block.size": str(READ)} | {f"parquet.{part}.size.row.check.min": "1" for part in ("page", "block")}
+    plain.mapInArrow(packed, ROWS).write.options(compression="none", **sizes).parquet(path)
     return points.sparkSession.read.schema(ROWS).parquet(path)
 
 
@@ -192,14 +192,16 @@ def _joined(parts: list[list[np.ndarray]], width: int, cells: int, size: int) ->
 
 @contextmanager
 def _few_at_once(spark: SparkSession) -> Iterator[None]:
-    """Jobs in the block send few rows to Python at once, as a row is a whole block."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(SENT))
+    """Jobs in the block read few rows at once and send few to Python, as a row is a whole block."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(SENT))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def _bits(h: np.ndarray, salt: int) -> np.ndarray:

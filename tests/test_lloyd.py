@@ -176,3 +176,12 @@ def test_measures_are_worked_out_once(spark):
     table = plain.selectExpr("id", "cast(a AS double) AS a", "cast(b AS double) AS b")
     found = clustering.cluster_table(table.mapInArrow(counted, table.schema), "id", max_k=3, restarts=2)
     assert found.assigned.count() == 200 and seen.value == 200
+
+
+def test_few_blocks_are_read_at_once_and_settings_come_back(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    with pytest.raises(ValueError), lloyd._few_at_once(spark):
+        assert [spark.conf.get(n) for n in names] == [str(lloyd.SENT)] * 2
+        raise ValueError
+    assert [spark.conf.get(n) for n in names] == before
